@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_count import count_documents
 from .common import table
+from .packing import pack
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op9_token_counts": op9_token_counts,
 }
 
