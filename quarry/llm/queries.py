@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_count import count_documents
 from .common import table
+from .decontam import ORACLE as CONTAMINATION_SQL
+from .decontam import contamination
 from .packing import pack
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,13 +20,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontamination": CONTAMINATION_SQL}
