@@ -12,10 +12,15 @@ from .common import table
 from .decontam import ORACLE as CONTAMINATION_SQL
 from .decontam import contamination
 from .packing import pack
+from .simhash import near_duplicates
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -29,6 +34,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
