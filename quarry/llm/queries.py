@@ -12,6 +12,7 @@ from .common import table
 from .decontam import ORACLE as CONTAMINATION_SQL
 from .decontam import contamination
 from .packing import pack
+from .quality import quality
 from .simhash import near_duplicates
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +41,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
 }
