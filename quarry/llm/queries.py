@@ -14,6 +14,7 @@ from .decontam import contamination
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
+from .toxicity import toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -38,12 +39,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op7_decontamination": CONTAMINATION_SQL}
