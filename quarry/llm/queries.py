@@ -11,6 +11,7 @@ from .bpe_count import count_documents
 from .common import table
 from .decontam import ORACLE as CONTAMINATION_SQL
 from .decontam import contamination
+from .langid import language
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
@@ -23,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -45,6 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
