@@ -12,6 +12,7 @@ from .common import table
 from .decontam import ORACLE as CONTAMINATION_SQL
 from .decontam import contamination
 from .langid import language
+from .license_scan import scan_documents
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
@@ -24,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
