@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_count import count_documents
 from .common import table
@@ -17,6 +18,7 @@ from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
 from .toxicity import toxicity
+from .vptree import nearest
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -45,6 +47,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_nearest": op8_nearest,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
