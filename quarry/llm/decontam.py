@@ -55,20 +55,8 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``.
-
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; no other column is read. A
-    null text has no words. Items without words or with a null item_id hit nothing, and rows
-    of one item_id count as one item. Repeated rows of ``docs`` each get their row; rows that
-    share a doc_id but not the text are judged apart. An empty table of either kind is no
-    special case. Documents are handled as arrays of words, so a very long one is one row of
-    one task; no group of several documents is ever gathered.
-    """
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of ``contamination``, with a key of the row's id and text."""
     item = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"), words(F.col("text"), fold=True).alias("v"))
     item = materialize(item.where(F.size("w") > 0), "items")
     short = sorted(r[0] for r in item.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # at most WINDOW - 1 lengths
@@ -100,7 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
     one = found.select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key"), "marks")
-    joined = base.join(_sized(one, found.count()), base["doc_id"].eqNullSafe(F.col("hit_doc")) & (base["key"] == F.col("hit_key")), "left")
+    joined = base.join(_sized(one, found.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).collect()[0][0]), base["doc_id"].eqNullSafe(F.col("hit_doc")) & (base["key"] == F.col("hit_key")), "left")
     cut = joined.select(
         "doc_id",
         "key",
@@ -150,6 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_items = F.coalesce("n_items", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
+        "key",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         n_items.alias("n_items"),
@@ -158,6 +147,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``.
+
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; no other column is read. A
+    null text has no words. Items without words or with a null item_id hit nothing, and rows
+    of one item_id count as one item. Repeated rows of ``docs`` each get their row; rows that
+    share a doc_id but not the text are judged apart. An empty table of either kind is no
+    special case. Documents are handled as arrays of words, so a very long one is one row of
+    one task; no group of several documents is ever gathered.
+    """
+    return judged(docs, benchmark).drop("key")
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated.
+
+    Each row is judged by its own text, also where rows share an id or have none.
+    """
+    bad = judged(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_doc"), F.col("key").alias("bad_key")).distinct()
+    bad = materialize(bad, "contaminated")
+    same = docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"], docs["doc_id"]) == bad["bad_key"])
+    return docs.join(_sized(bad, bad.count()), same, "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -168,7 +168,7 @@ def weights(rows: int, frequency: dict[bytes, int]) -> dict[bytes, float]:
     return {w: math.log((rows + 1) / (frequency.get(w, 0) + 1)) + 0.01 for w in template_words()}
 
 
-RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+RESULT = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
@@ -197,6 +197,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                 score = score or float(bool(base))
                 out.append((doc_id, len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
             found = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield found.astype({"doc_id": "Int64", "n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64"})
+            yield found.astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, RESULT)
+    # as text, since pandas would turn integers with nulls into floating point
+    scanned = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, RESULT)
+    return scanned.withColumn("doc_id", F.col("doc_id").cast("long"))

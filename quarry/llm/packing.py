@@ -26,7 +26,7 @@ MEMORY, GATHER = 600_000, 2_000_000
 #: Ends every document.
 END = b"\0\0\0\0"
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
 class Encoder:
@@ -108,8 +108,7 @@ def _rows(window: list, sequence: int) -> Iterator[tuple]:
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=names)
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, most: int = OPEN_WINDOWS) -> DataFrame:
@@ -136,7 +135,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, most: int = OPEN_WINDOWS)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, raw in zip(batch["doc_id"].tolist(), code.encode(batch["text"]), strict=True):
-                doc_id, tokens = None if pd.isna(doc_id) else doc_id, len(raw) // 4
+                tokens = len(raw) // 4
                 for start in range(0, tokens, size):
                     ids = raw[4 * start : 4 * (start + size)]
                     piece = (doc_id, start, zlib.crc32(ids), tokens)
@@ -151,13 +150,14 @@ def pack(docs: DataFrame, path: str, size: int = 1024, most: int = OPEN_WINDOWS)
         sequences = iter(range((key[0] << 33) + 1, (key[0] + 1) << 33, 2))
         out: list[tuple] = []
         for r in group.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True]).itertuples(index=False):
-            for window in windows.place(r.length, (None if pd.isna(r.doc_id) else r.doc_id, r.start, r.ids_crc32, r.doc_tokens)):
+            for window in windows.place(r.length, (r.doc_id, r.start, r.ids_crc32, r.doc_tokens)):
                 out += _rows(window, next(sequences))
         for window in windows.rest():
             out += _rows(window, next(sequences))
         return _frame(out, names)
 
-    placed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"{PIECES}, open boolean, part long"), "packed")
+    # ids as text, since pandas would turn integers with nulls into floating point
+    placed = materialize(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, f"{PIECES}, open boolean, part long"), "packed")
     closed = placed.where(~F.col("open")).select(names)
     merged = placed.where("open").withColumn("group", F.expr(f"part div {MERGE_PARTITIONS}")).groupBy("group").applyInPandas(merge, PIECES)
-    return closed.unionByName(merged)
+    return closed.unionByName(merged).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -15,6 +15,7 @@ from .decontam import contamination
 from .langid import language
 from .license_scan import scan_documents
 from .packing import pack
+from .pseudo_lm import score_documents
 from .quality import quality
 from .simhash import near_duplicates
 from .toxicity import toxicity
@@ -39,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_nearest": op8_nearest,

@@ -160,10 +160,10 @@ def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, fingerprint, component_id, root of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id among all documents reachable over links, itself
-    included; null ids never are the smallest, and a component of null ids has a null
+    included; root is the component's smallest fingerprint as a signed number. Null ids never are the smallest, and a component of null ids has a null
     component_id. A null text is empty; texts without words have fingerprint zero and are
     linked like any others. Copies share a fingerprint and are summed up before the index is
     built, so a group of copies is one entry of it, and repeated rows change nothing. An
@@ -174,28 +174,29 @@ def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     roots = components(links(groups, long_list))
     placed = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = placed.join(lowest, "root").select(F.col("fp").alias("own"), "component_id")
+    by_print = placed.join(lowest, "root").select(F.col("fp").alias("own"), "component_id", "root")
     return marked.join(by_print, marked["fp"] == F.col("own"), "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id, all columns kept.
 
-    Rows that repeat a kept id are one document, of which the smallest text stays. A document
-    without an id goes if its component has one with an id; else one of each such text stays.
+    Rows that repeat a kept id are one document, of which one row stays. A document without
+    an id goes if its component has one with an id; of others without an id, one row of each
+    fingerprint's component stays.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
-    gone = F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
-    out = materialize(found.where(gone).select("doc_id").distinct(), "copies")
-    few = out.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(out) if few else out, "doc_id", "left_anti")
-    if docs.where(F.col("doc_id").isNull()).limit(1).count():
-        owned = found.where(F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("fingerprint").distinct()
+    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    if kept.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    nameless = docs.where(F.col("doc_id").isNull())
+    if nameless.limit(1).count():
+        alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).groupBy("root").agg(F.min("fingerprint").alias("mark"))
         mark = F.lower(F.lpad(F.hex(fingerprint(F.col("text"))), 16, "0"))
-        nameless = kept.where(F.col("doc_id").isNull()).withColumn("fingerprint of this row", mark)
-        nameless = nameless.join(owned.withColumnRenamed("fingerprint", "fingerprint of this row"), "fingerprint of this row", "left_anti").drop("fingerprint of this row")
-        kept = kept.where(F.col("doc_id").isNotNull()).unionByName(nameless.dropDuplicates(["text"]).select(docs.columns))
-    repeated = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
-    return kept if repeated.limit(1).count() == 0 else kept.dropDuplicates(["doc_id", "text"]) if kept.where(F.col("doc_id").isNull()).limit(1).count() else kept.dropDuplicates(["doc_id"])
+        rows = nameless.select(mark.alias("mark"), F.struct(*docs.columns).alias("row")).join(alone, "mark", "left_semi")
+        kept = kept.select(docs.columns).unionByName(rows.dropDuplicates(["mark"]).select("row.*"))
+    return kept.select(docs.columns)
