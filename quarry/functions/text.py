@@ -110,6 +110,10 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
+def _matches(regex: str):
+    return lambda name: name.rlike(regex)
+
+
 def excluded(path: Column, patterns: list[str]) -> Column:
     """A pattern with a slash is held against the relative path or a folder above it, one without against each name along it."""
     hit = F.lit(False)
@@ -117,7 +121,7 @@ def excluded(path: Column, patterns: list[str]) -> Column:
         if "/" in pattern:
             hit = hit | path.rlike(glob_regex(pattern)) | path.rlike(glob_regex(pattern + "/*"))
         else:
-            hit = hit | F.exists(F.split(path, "/"), lambda name, p=pattern: name.rlike(glob_regex(p)))
+            hit = hit | F.exists(F.split(path, "/"), _matches(glob_regex(pattern)))
     return hit
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import retrieval, upkeep
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **upkeep.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **upkeep.ORACLES}
