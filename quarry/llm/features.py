@@ -14,16 +14,22 @@ NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
+#: Spaces after each text, so that no n-gram that begins in one reaches the next.
+GAP = 4
+
+
 class Texts:
-    """The bytes of some texts, a space after each, and where their words lie."""
+    """The bytes of some texts, and where their words lie. A text's range has one space after it;
+    what is found in a range depends on that text alone."""
 
     def __init__(self, texts: list[bytes], separators: np.ndarray = SPACE, lower: bool = False):
         self.count = len(texts)
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        gap = b" " * GAP
+        data = np.frombuffer(gap.join(texts) + gap, np.uint8)
         self.data = LOWER[data] if lower else data
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        self.ends = np.cumsum(lengths)
-        self.starts = self.ends - lengths
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(lengths + GAP) - lengths - GAP
+        self.ends = self.starts + lengths + 1
         inside = ~separators[self.data]
         inside[self.ends - 1] = False
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
@@ -44,7 +50,7 @@ class Texts:
         return mixed(np.add.reduceat(own * powers(int(lengths.max()))[place], first))
 
     def grams(self, n: int) -> np.ndarray:
-        """A 64-bit hash of the n bytes from each place on; the last n - 1 places run over the end."""
+        """A 64-bit hash of the n bytes from each place on, n up to GAP."""
         data = np.concatenate([self.data, np.full(n - 1, 32, np.uint8)]).astype(np.uint64)
         code = data[: len(self.data)].copy()
         for k in range(1, n):
@@ -63,9 +69,11 @@ def powers(n: int) -> np.ndarray:
 
 
 def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sum of values[starts[i]:ends[i]]; 0 where that is empty. Ranges are in order and gapless."""
+    """Sum of values[starts[i]:ends[i]]; 0 where that is empty. Ranges are in order and don't overlap."""
     out = np.zeros((len(starts), *values.shape[1:]), np.float64)
     full = np.flatnonzero(ends > starts)
     if len(full):
-        out[full] = np.add.reduceat(values, starts[full], axis=0, dtype=np.float64)
+        edges = np.stack([starts[full], ends[full]], axis=1).ravel()
+        edges = edges[:-1] if edges[-1] == len(values) else edges
+        out[full] = np.add.reduceat(values, edges, axis=0, dtype=np.float64)[::2]
     return out

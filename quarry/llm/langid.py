@@ -53,16 +53,13 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
 
 
 def gram_buckets(t: Texts) -> np.ndarray:
-    """n-grams at each place; the last places of a text run into the separator after it alone."""
-    each = []
-    for n in GRAMS:
-        each.append((t.grams(n) % np.uint64(BUCKETS)).astype(np.int32))
-    return np.stack(each)
+    """n-grams at each place, for each n."""
+    return np.stack([(t.grams(n) % np.uint64(BUCKETS)).astype(np.int32) for n in GRAMS])
 
 
 def prepared(text: str | None) -> bytes:
-    """Lower case, in between single spaces, so that texts don't touch in a batch."""
-    return (" " + " ".join((text or "").lower().split()) + "  ").encode("utf-8", "replace")
+    """Lower case, with single spaces, one in front."""
+    return (" " + " ".join((text or "").lower().split())).encode("utf-8", "replace")
 
 
 @dataclass
@@ -110,7 +107,8 @@ def train(sample: list[tuple[str, str]], seed: int = 4) -> Model:
         return Model(names, code, weight, bias)
     bags = []
     for text, _ in sample:
-        found, times = np.unique(gram_buckets(Texts([prepared(text)])), return_counts=True)
+        t = Texts([prepared(text)])
+        found, times = np.unique(gram_buckets(t)[:, : t.ends[0]], return_counts=True)
         bags.append((found, (times / times.sum()).astype(np.float32)))
     target = code[[names.index(lang) for _, lang in sample]]
     draw, steps, total = np.random.default_rng(seed), 0, EPOCHS * len(bags)

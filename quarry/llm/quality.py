@@ -65,7 +65,8 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of one document, and their share of all its features."""
     t = Texts([text])
     words = buckets(t)
-    every = np.concatenate([words, np.full(len(repeats(t, words)), REPEAT, np.int32), *[gram_buckets(t, n) for n in GRAMS]])
+    grams = [gram_buckets(t, n)[: t.ends[0]] for n in GRAMS]
+    every = np.concatenate([words, np.full(len(repeats(t, words)), REPEAT, np.int32), *grams])
     found, times = np.unique(every, return_counts=True)
     return found, (times / len(every)).astype(np.float32)
 
