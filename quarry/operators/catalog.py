@@ -77,6 +77,18 @@ def nearest_ancestor(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     return paths.select("path").distinct().join(found, "path", "left")
 
 
+def targets(paths: DataFrame, catalog: DataFrame) -> DataFrame:
+    """directory, asked: what a rebuild of the paths comes to, each directory once with the number of
+    paths that it answers; paths without a directory are counted under null."""
+    return nearest_ancestor(paths, catalog).groupBy(F.col("ancestor").alias("directory")).agg(F.count("*").alias("asked"))
+
+
+def stale_children(catalog: DataFrame, directory: str, current: list[str]) -> DataFrame:
+    """directory: recorded children that are not among the current ones."""
+    own = catalog.where(F.col("directory") == directory).select(F.explode("children").alias("directory"))
+    return own.where(~F.array_contains(_list(current), F.col("directory")))
+
+
 def stale(catalog: DataFrame, formats: DataFrame) -> DataFrame:
     """Directories whose stored files (directory, has_old, has_new) are of the old format alone."""
     old = formats.where(F.col("has_old") & ~F.col("has_new")).select("directory")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import extension
+
 
 def manifest_diff(current: DataFrame, known: DataFrame) -> DataFrame:
     """path, status (new, changed, same, deleted) of two listings with path, mtime and size.
@@ -35,8 +37,6 @@ def appended(kept: DataFrame, fresh: DataFrame) -> DataFrame:
     Numbers are dealt per index: rows are ordered within files first, and files get their offsets
     from sums over file counts, so that no window holds more than one file or one index's files.
     """
-    from pyspark.sql import Window
-
     every = kept.unionByName(fresh)
     in_file = Window.partitionBy("index_id", "file").orderBy(F.asc_nulls_first("start_line"), F.asc_nulls_first("end_line"), "text")
     files = every.groupBy("index_id", "file").agg(F.count("*").alias("rows"))
@@ -51,7 +51,20 @@ def reused_vectors(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(cache.select("hash", "vector").dropDuplicates(["hash"]), "hash", "left")
 
 
-def files_per_extension(files: DataFrame) -> DataFrame:
-    from ..functions.text import extension
+def index_statistics(chunks: DataFrame) -> DataFrame:
+    """index_id, files, chunks, bytes."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return chunks.groupBy("index_id").agg(F.countDistinct("file").alias("files"), F.count("*").alias("chunks"), F.sum(size).alias("bytes"))
+
+
+def within_budget(statistics: DataFrame, budget: int) -> DataFrame:
+    """index_id, bytes, running, fits: the largest indexes first, as far as they fit together.
 
+    The window runs over one row an index, after the aggregation.
+    """
+    running = F.sum("bytes").over(Window.orderBy(F.desc("bytes"), "index_id").rowsBetween(Window.unboundedPreceding, 0))
+    return statistics.select("index_id", "bytes", running.alias("running")).withColumn("fits", F.col("running") <= budget)
+
+
+def files_per_extension(files: DataFrame) -> DataFrame:
     return files.select(extension(F.col("path")).alias("extension")).groupBy("extension").agg(F.count("*").alias("files"))

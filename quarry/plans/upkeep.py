@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as cat
-from ..operators import maintain, sections
+from ..operators import chunking, maintain, sections
+from ..operators.embed import HashingEmbedder, embedded
 from . import corpora
 from .corpora import CHUNKS
 
@@ -193,6 +194,34 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections(spark.createDataFrame(MARKDOWN, "text_id long, text string"), "text_id")
 
 
+SOURCES = [
+    ("/w/app.py", "import os\n\n# a note\nLIMIT = 3\n\n\ndef read(path):\n    return open(path).read()\n\n\nclass Reader:\n    def run(self):\n        return 1\n\n\nprint(LIMIT)\n"),
+    ("/w/long.py", "class Long:\n    size = 1\n" + "".join(f"    def m{i}(self):\n" + "        pass\n" * 20 for i in range(9))),
+    ("/w/broken.py", "def broken(:\n    pass\n"),
+    ("/w/guide.md", "intro\n# One\ntext\n## Two\nmore\n"),
+    ("/w/page.html", "<p>Visible</p>\n<script>x\ny</script>\n<b>end</b>"),
+]
+
+
+def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as text files in chunks of at most 450 words and signs."""
+    d = corpora.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("/w/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = d.select(F.col("lang").alias("index_id"), name.alias("path"), F.substring(name, 4, 100).alias("rel"), F.col("text").cast("binary").alias("content"))
+    return chunking.chunk_files(files)
+
+
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame(SOURCES, "path string, t string")
+    return chunking.chunk_files(files.select(F.lit("w").alias("index_id"), "path", F.substring("path", 4, 100).alias("rel"), F.col("t").cast("binary").alias("content")))
+
+
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with vectors of the model-free embedder, each distinct text computed once."""
+    d = corpora.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embedded(d, HashingEmbedder()).select("doc_id", "hash", "vector")
+
+
 _REGISTERED = dict(directory="/ws/mono", indexed_at="2024-02-01T00:00:00+00:00", model="m3", children=["/ws/mono/api"], exclude=[])
 
 QUERIES = {
@@ -225,6 +254,14 @@ QUERIES = {
     "set_split_skip": lambda spark, d: _flat(cat.set_split(_catalog(spark), "/ws/mono", ["web", "tmp", "web"])),
     "split_child_tags": lambda spark, d: _flat(cat.tag_children(_catalog(spark), "/ws/mono")),
     "markdown_sections": markdown_sections,
+    "top_level_indexes": lambda spark, d: cat.top_level(_catalog(spark)).select("directory"),
+    "reindex_targets": lambda spark, d: cat.targets(spark.createDataFrame([(p,) for p in ASKED], "path string"), _catalog(spark)),
+    "stale_children": lambda spark, d: cat.stale_children(_catalog(spark), "/ws/mono", ["/ws/mono/web", "/ws/mono/new"]),
+    "index_statistics": lambda spark, d: maintain.index_statistics(corpora.chunks(spark, d)),
+    "byte_budget": lambda spark, d: maintain.within_budget(maintain.index_statistics(corpora.chunks(spark, d)), 2_000_000),
+    "split_overlap": split_overlap,
+    "code_chunks": code_chunks,
+    "hashed_vectors": hashed_vectors,
 }
 
 _markup = "<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<svg\\b.*?</svg\\s*>|<!--.*?-->|<[^>]*>"
@@ -292,6 +329,14 @@ SELECT path, arg_max(directory, len(directory)) AS ancestor FROM asked LEFT JOIN
   FROM catalog WHERE directory <> '/ws/mono/web') {FLAT} after""",
     "split_child_tags": f"""WITH {CATALOG}, after AS (
   SELECT * REPLACE (CASE WHEN directory IN ('/ws/mono/api', '/ws/mono/web') THEN list_sort(list_distinct(list_concat(['lib', 'team'], ['folder:' || {_base.format('directory')}]))) ELSE tags END AS tags) FROM catalog) {FLAT} after""",
+    "top_level_indexes": f"WITH {CATALOG} SELECT directory FROM catalog WHERE directory NOT IN (SELECT unnest(children) FROM catalog WHERE children IS NOT NULL)",
+    "reindex_targets": f"""WITH {CATALOG}, {values("asked", "path", [(p,) for p in ASKED])}, found AS (
+  SELECT path, arg_max(directory, len(directory)) AS directory FROM asked LEFT JOIN catalog ON path = directory OR starts_with(path, directory || '/') GROUP BY path)
+SELECT directory, count(*) AS asked FROM found GROUP BY directory""",
+    "stale_children": f"WITH {CATALOG}, kids AS (SELECT unnest(children) AS directory FROM catalog WHERE directory = '/ws/mono') SELECT directory FROM kids WHERE directory NOT IN ('/ws/mono/web', '/ws/mono/new')",
+    "index_statistics": f"WITH {CHUNKS} SELECT index_id, count(DISTINCT file) AS files, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM chunks GROUP BY index_id",
+    "byte_budget": f"""WITH {CHUNKS}, sizes AS (SELECT index_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM chunks GROUP BY index_id)
+SELECT index_id, bytes, CAST(sum(bytes) OVER (ORDER BY bytes DESC, index_id) AS BIGINT) AS running, running <= 2000000 AS fits FROM sizes""",
     "markdown_sections": f"""WITH RECURSIVE {values("texts", "text_id, text", MARKDOWN)},
 lines AS (SELECT text_id, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS line FROM texts),
 fenced AS (
