@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .pretokens import Vocabulary, pieces, vocabulary
+from .pretokens import UNICODE, Vocabulary, vocabulary
 
 #: Windows that a partition keeps open at a time.
 OPEN_WINDOWS = 256
 #: Partitions whose leftover windows are merged together; bounds a merge to that many times OPEN_WINDOWS.
 MERGE_PARTITIONS = 32
-#: Pre-tokens whose ids a worker remembers, and characters it gathers before it encodes new ones.
-MEMORY, GATHER = 600_000, 2_000_000
+#: Characters of a run without, or of nothing but, white space from which a text counts as unusual.
+LONG_RUN = 1000
 #: Ends every document.
 END = b"\0\0\0\0"
 
@@ -30,38 +30,30 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 
 
 class Encoder:
-    """Documents to little-endian 32-bit ids; ids of known pre-tokens are remembered."""
+    """Documents to little-endian 32-bit ids, as the file's own library gives them.
+
+    Where the file's ids are its merges in order, as byte-level vocabularies have them, another
+    library that merges by ids gives the same, faster. It slows down on runs that nothing cuts,
+    so texts with a long one, and files of another kind, go to the file's own library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.vocab: Vocabulary = vocabulary(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        held, size = [], 0
-        for text in texts:
-            held.append(text if isinstance(text, str) else "")
-            size += len(held[-1])
-            if size >= GATHER:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [[(special, part if special else pieces(part)) for special, part in self.vocab.spans(t)] for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        new = list({p for spans in cut for special, part in spans if not special for p in part if p not in known})
-        for piece, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
-        for spans in cut:
-            yield b"".join(
-                self.vocab.special_id[part].to_bytes(4, "little") if special else b"".join(map(known.__getitem__, part)) for special, part in spans
-            ) + END
+        vocab: Vocabulary = vocabulary(path)
+        ranks = vocab.ranks()
+        self.fast = ranks and tiktoken.Encoding("file", pat_str=UNICODE, mergeable_ranks=ranks, special_tokens=vocab.special_id)
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return END
+        words = text.split()
+        plain = len(text) - sum(map(len, words)) < len(words) + LONG_RUN and max(map(len, words), default=0) < LONG_RUN
+        ids = self.fast.encode(text, allowed_special="all") if self.fast and plain else self.model.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids) + END
 
 
 @lru_cache(2)
@@ -134,7 +126,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, most: int = OPEN_WINDOWS)
         sequences = iter(range(part << 33, (part + 1) << 33, 2))
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, raw in zip(batch["doc_id"].tolist(), code.encode(batch["text"]), strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                raw = code.encode(text)
                 tokens = len(raw) // 4
                 for start in range(0, tokens, size):
                     ids = raw[4 * start : 4 * (start + size)]

@@ -61,6 +61,16 @@ class Vocabulary:
             self.merges.setdefault(vocab[a] << 20 | vocab[b], (rank << 32, vocab[a + b]))
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def ranks(self) -> dict[bytes, int] | None:
+        """Bytes of each token by id, if ids below 256 are the bytes and the others the merges in order; else None."""
+        tokens = {i: bytes([b]) for b, i in enumerate(self.byte_id)}
+        for pair, (rank, new) in self.merges.items():
+            if new != 256 + (rank >> 32) or (pair >> 20) >= new or (pair & (1 << 20) - 1) >= new or pair >> 20 not in tokens or pair & (1 << 20) - 1 not in tokens:
+                return None
+            tokens[new] = tokens[pair >> 20] + tokens[pair & (1 << 20) - 1]
+        ranks = {t: i for i, t in tokens.items()}
+        return ranks if sorted(ranks.values()) == list(range(256 + len(self.merges))) else None
+
     def spans(self, text: str) -> list[tuple[bool, str]]:
         """(is a special token, text) in order."""
         if self._cut is None or not any(s in text for s in self.special):
