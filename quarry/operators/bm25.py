@@ -6,12 +6,14 @@ aggregations, so they sum up before each shuffle; a search reads only its own te
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ident_tokens
+from ..functions.text import CAMEL, TOKEN, ident_tokens
 
 # Saturation, length share, and the floor of negative weights as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -33,11 +35,13 @@ def postings(chunks: DataFrame) -> DataFrame:
     return tokenized(chunks).select("index_id", "row_id", F.explode("terms").alias("term")).groupBy("index_id", "row_id", "term").agg(F.count("*").alias("tf"))
 
 
-def postings_of(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms of a question only: others are dropped before any shuffle."""
-    wanted = F.broadcast(terms.agg(F.collect_set("term").alias("wanted")))  # one row, of a question's words
-    own = tokenized(chunks).crossJoin(wanted).select("index_id", "row_id", F.filter("terms", lambda t: F.array_contains("wanted", t)).alias("terms"))
-    return own.select("index_id", "row_id", F.explode("terms").alias("term")).groupBy("index_id", "row_id", "term").agg(F.count("*").alias("tf"))
+def matches(chunks: DataFrame, question: str) -> DataFrame:
+    """index_id, row_id, length, term, tf of a question's terms only. All of a row's counts come
+    from the row itself, so this needs no shuffle, and rows without any term end here."""
+    words = F.array(*map(F.lit, question_words(question))).cast("array<string>")
+    counted = F.transform(words, lambda w: F.struct(w.alias("term"), F.size(F.filter("terms", lambda t: t == w)).cast("long").alias("tf")))
+    rows = tokenized(chunks).select("index_id", "row_id", F.size("terms").cast("long").alias("length"), F.explode(counted).alias("hit"))
+    return rows.where(F.col("hit.tf") > 0).select("index_id", "row_id", "length", "hit.term", "hit.tf")
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
@@ -89,30 +93,35 @@ class Statistics:
         )
 
 
+def question_words(question: str) -> dict[str, int]:
+    """Tokens of a question, as ``ident_tokens`` gives them, and how often each is asked for."""
+    return dict(Counter(re.findall(TOKEN, re.sub(CAMEL, r"\1 \2", question).lower())))
+
+
 def question_terms(spark, question: str) -> DataFrame:
     """term, qtf: a word asked for twice counts twice."""
-    return spark.range(1).select(F.explode(ident_tokens(F.lit(question))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    rows = [F.struct(F.lit(w).alias("term"), F.lit(n).cast("long").alias("qtf")) for w, n in question_words(question).items()]
+    every = F.array(*rows).cast("array<struct<term:string,qtf:bigint>>")
+    return spark.range(1).select(F.explode(every).alias("q")).select("q.term", "q.qtf")
 
 
-def scores(matches: DataFrame, row_lengths: DataFrame, statistics: Statistics, terms: DataFrame) -> DataFrame:
+def scores(hits: DataFrame, statistics: Statistics, terms: DataFrame) -> DataFrame:
     """index_id, row_id, score (rounded) of the chunks that hold some term and score above zero.
 
-    ``matches`` has postings of at least the terms. A question's weights are few rows and are
-    broadcast; the lengths are joined by row after the terms have picked the rows.
+    ``hits`` has index_id, row_id, length, term and tf of at least the terms. A question's
+    weights are few rows and are broadcast.
     """
-    weights = F.broadcast(statistics.idf(terms))
-    hit = matches.join(weights, "term").join(row_lengths, ["index_id", "row_id"]).crossJoin(F.broadcast(statistics.overall.select("avgdl")))
+    weights = F.broadcast(statistics.idf(terms).crossJoin(F.broadcast(statistics.overall.select("avgdl"))))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
-    summed = hit.groupBy("index_id", "row_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    summed = hits.join(weights, "term").groupBy("index_id", "row_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return summed.where(F.col("score") > 0)
 
 
 def search(chunks: DataFrame, question: str, k: int) -> DataFrame:
     """The k best chunks: index_id, row_id, score, rank."""
     terms = question_terms(chunks.sparkSession, question)
-    found = scores(postings_of(chunks, terms), lengths(chunks), Statistics.of(chunks), terms)
-    return ranked(found, k)
+    return ranked(scores(matches(chunks, question), Statistics.of(chunks), terms), k)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:

@@ -163,8 +163,8 @@ class Library:
         store.write(
             {
                 "chunks": rows,
-                "postings": bm25.postings(rows).repartition("term"),
-                "lengths": bm25.lengths(rows),
+                # by term, so that a question reads the row groups of its terms; lengths ride along
+                "postings": bm25.postings(rows).join(bm25.lengths(rows), ["index_id", "row_id"]).repartitionByRange("term", "row_id"),
                 "frequencies": statistics.frequencies,
                 "sizes": statistics.sizes,
                 "manifest": current,
@@ -224,5 +224,5 @@ class Library:
         chunks = union("chunks").withColumn("root", F.col("index_id"))
         vector = self.spark.createDataFrame([([float(x) for x in self.embedder.embed_query(question)],)], "query array<double>")
         statistics = bm25.Statistics.from_tables(union("sizes"), union("frequencies"))
-        top = search.hybrid(chunks, vector, question, k, folder, statistics, union("postings"), union("lengths"))
+        top = search.hybrid(chunks, vector, question, k, folder, statistics, union("postings"))
         return search.results(top, chunks)

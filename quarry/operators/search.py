@@ -23,22 +23,20 @@ def hybrid(
     folder: str | None = None,
     statistics: bm25.Statistics | None = None,
     postings: DataFrame | None = None,
-    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """rank, index_id, row_id, file, fused of the k best chunks.
 
     ``chunks`` has index_id, row_id, file, text, vector and, if indexes have one, root; ``query``
     is one row with the question's vector (column query). Rows without a vector take no part.
-    Statistics, postings and lengths are computed unless a stored index provides them. Both
+    Statistics and postings (with length) are computed unless a stored index provides them. Both
     retrievers carry identities and scores only; paths are joined for the few fused hits.
     """
     chunks = chunks.where(F.col("vector").isNotNull())
     spark, size = chunks.sparkSession, fusion.fetch_size(k, folder)
     terms = bm25.question_terms(spark, question)
     statistics = statistics or bm25.Statistics.of(chunks)
-    postings = postings if postings is not None else bm25.postings_of(chunks, terms)
-    lengths = lengths if lengths is not None else bm25.lengths(chunks)
-    keyword = bm25.ranked(bm25.scores(postings, lengths, statistics, terms), size)
+    hits = postings if postings is not None else bm25.matches(chunks, question)
+    keyword = bm25.ranked(bm25.scores(hits, statistics, terms), size)
     nearest = vector.search(chunks, query, size)
     rooted = "root" in chunks.columns
     paths = chunks.select("index_id", "row_id", "file", *(["root"] if rooted else []))

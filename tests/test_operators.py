@@ -82,7 +82,7 @@ def test_one_index_scores_plainly(spark):
     rows = corpus(1, 40, "a") + [("a", 40, "/a/f40.py", "rare alpha rare")]
     c = frame(spark, rows)
     q = bm25.question_terms(spark, "rare alpha rare beta")
-    got = {r["row_id"]: r["score"] for r in bm25.scores(bm25.postings_of(c, q), bm25.lengths(c), bm25.Statistics.of(c), q).collect()}
+    got = {r["row_id"]: r["score"] for r in bm25.scores(bm25.matches(c, "rare alpha rare beta"), bm25.Statistics.of(c), q).collect()}
     for i, s in enumerate(expected(rows, "rare alpha rare beta")):
         assert got.get(i, 0.0) == pytest.approx(max(s, 0.0), abs=1e-8)
 
@@ -95,13 +95,21 @@ def test_two_indexes_score_as_one(spark):
 
     def scored(rows):
         c = frame(spark, rows)
-        return sorted((r["score"] for r in bm25.scores(bm25.postings_of(c, q), bm25.lengths(c), bm25.Statistics.of(c), q).collect()))
+        return sorted((r["score"] for r in bm25.scores(bm25.matches(c, "zebra"), bm25.Statistics.of(c), q).collect()))
 
     joined = [("j", i, f, t) for i, (_, _, f, t) in enumerate(a + b)]
     assert scored(a + b) == pytest.approx(scored(joined), rel=1e-6)
     assert len(scored(a + b)) == 2 and scored(a + b) != pytest.approx(sorted(scored(a) + scored(b)), rel=1e-3)
 
 
+def test_stored_postings_score_alike(spark):
+    c = frame(spark, corpus(5, 30, "a") + corpus(6, 20, "b"))
+    q = bm25.question_terms(spark, "alpha mu mu nowhere")
+    stored = bm25.postings(c).join(bm25.lengths(c), ["index_id", "row_id"])
+    by_question = bm25.scores(bm25.matches(c, "alpha mu mu nowhere"), bm25.Statistics.of(c), q)
+    assert sorted(map(tuple, bm25.scores(stored, bm25.Statistics.of(c), q).collect())) == sorted(map(tuple, by_question.collect()))
+
+
 def test_empty_question_and_empty_collection(spark):
     c = frame(spark, corpus(4, 10, "a"))
     assert bm25.search(c, "?!", 5).count() == 0
