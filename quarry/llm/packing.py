@@ -34,7 +34,7 @@ class Encoder:
 
     Where the file's ids are its merges in order, as byte-level vocabularies have them, another
     library that merges by ids gives the same, faster. It slows down on runs that nothing cuts,
-    so texts with a long one, and files of another kind, go to the file's own library.
+    so texts with a long one, and files with another order, go to the file's own library.
     """
 
     def __init__(self, path: str):

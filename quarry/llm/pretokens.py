@@ -50,7 +50,9 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        model = spec["model"]
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path} is not a plain byte-level BPE file")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special_id = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         vocab = model["vocab"]

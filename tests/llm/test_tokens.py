@@ -40,6 +40,11 @@ def test_merges_give_the_library_symbols(model):
         assert [i for i in ids if i >= 0] == model.encode(piece, add_special_tokens=False).ids and merged == len(piece.encode()) - sum(i >= 0 for i in ids)
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        pretokens.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_count_odd(odd, docs_of, model):
     got = sorted(repr(tuple(r)) for r in bpe_count.count_documents(odd, PATH).collect())
     sizes = [(i, len((t or "").encode()), len(model.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD]
