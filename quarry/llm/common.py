@@ -29,6 +29,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that this process has written to scratch folders.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process; only once no result that reads them is needed."""
+    jvm, conf, done = spark._jvm, spark._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return done
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, cutting its lineage.
 
@@ -37,6 +50,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

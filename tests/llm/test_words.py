@@ -1,6 +1,7 @@
 """Operators on words: near-duplicates, decontamination, licenses."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -16,6 +17,15 @@ from .conftest import ODD, prose
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def test_scratch_tables(spark):
+    from quarry.llm.common import materialize, release, scratch_dir
+
+    df = materialize(spark.range(3).withColumn("x", F.lit(None).cast("string")), "some")
+    assert df.count() == 3 and df.inputFiles()[0].removeprefix("file://").startswith(scratch_dir(spark))
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert release(spark) >= 1 and not os.path.exists(folder) and release(spark) == 0
+
+
 # -- near-duplicates ------------------------------------------------------------------------
 
 
