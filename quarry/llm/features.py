@@ -16,6 +16,8 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 #: Spaces after each text, so that no n-gram that begins in one reaches the next.
 GAP = 4
+#: Words that are hashed at a time.
+BLOCK = 1 << 16
 
 
 class Texts:
@@ -40,14 +42,15 @@ class Texts:
         self.word_from = np.searchsorted(self.word_doc, np.arange(self.count + 1))
 
     def words(self) -> np.ndarray:
-        """A 64-bit hash of each word, from its bytes alone."""
-        if not len(self.word_start):
-            return np.empty(0, np.uint64)
-        lengths = self.word_end - self.word_start
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-        own = self.data[place + np.repeat(self.word_start, lengths)].astype(np.uint64) + np.uint64(1)
-        return mixed(np.add.reduceat(own * powers(int(lengths.max()))[place], first))
+        """A 64-bit hash of each word, from its bytes alone; some words at a time, to hold less."""
+        out = np.empty(len(self.word_start), np.uint64)
+        for i in range(0, len(out), BLOCK):
+            start, lengths = self.word_start[i : i + BLOCK], (self.word_end - self.word_start)[i : i + BLOCK]
+            first = np.cumsum(lengths) - lengths
+            place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+            own = self.data[place + np.repeat(start, lengths)].astype(np.uint64) + np.uint64(1)
+            out[i : i + BLOCK] = mixed(np.add.reduceat(own * powers(int(lengths.max()))[place], first))
+        return out
 
     def grams(self, n: int) -> np.ndarray:
         """A 64-bit hash of the n bytes from each place on, n up to GAP."""
