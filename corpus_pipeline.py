@@ -34,8 +34,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no run of any item of the benchmark."""
+    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"), least=1)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,12 +160,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return judged(docs, benchmark).drop("key")
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated.
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hit fewer than ``least`` items.
 
-    Each row is judged by its own text, also where rows share an id or have none.
+    Two is what the column ``contaminated`` says; with one, no run of any item is left. Each
+    row is judged by its own text, also where rows share an id or have none.
     """
-    bad = judged(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_doc"), F.col("key").alias("bad_key")).distinct()
+    bad = judged(docs.select("doc_id", "text"), benchmark).where(F.col("n_items") >= least).select(F.col("doc_id").alias("bad_doc"), F.col("key").alias("bad_key")).distinct()
     bad = materialize(bad, "contaminated")
     same = docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"], docs["doc_id"]) == bad["bad_key"])
     return docs.join(_sized(bad, bad.count()), same, "left_anti")

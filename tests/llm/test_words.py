@@ -176,6 +176,18 @@ def test_contaminated_rows_go(spark, docs_of):
     assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(repr(d) for d in docs if repr(d) not in bad)
 
 
+def test_stage_drops_documents_with_one_planted_item(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    items, docs = items_and_docs()
+    docs = [*docs, (50, prose(8, 30) + " " + items[3][1] + " " + prose(9, 30)), (51, prose(8, 60))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits = plain_contamination(docs, items)
+    assert [r[3] for r in hits if r[0] in (50, 51)] == [1, 0]
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs_of(docs), str(tmp_path))
+    assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(repr(d) for d, r in zip(docs, hits, strict=True) if r[3] == 0)
+
+
 def test_winnowing_keeps_a_hash_of_every_run(spark):
     row = spark.range(1).select(decontam.grams(F.split(F.lit(prose(5, 60)), " "), decontam.GRAM).alias("g")).select("g", decontam.winnowed(F.col("g")).alias("k")).collect()[0]
     run = decontam.WINDOW - decontam.GRAM + 1
