@@ -23,10 +23,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ITEMS = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # sha256 of no text
 
 
-def words(text: Column, fold: bool = False) -> Column:
-    """Words of a text with A-Z lower-cased; ``fold`` lower-cases all letters, which is faster
-    and makes equal words equal still, and cuts at the same places."""
-    lowered = F.lower(text) if fold else F.translate(text, UPPER, LOWER)
+def words(text: Column) -> Column:
+    """Words of a text with A-Z lower-cased. ``lower``, which is faster, does the same to ASCII
+    alone; elsewhere it changes other letters too, a capital sigma by what stands beside it."""
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), SEPARATORS), "")
 
 
@@ -57,7 +57,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of ``contamination``, with a key of the row's id and text."""
-    item = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"), words(F.col("text"), fold=True).alias("v"))
+    item = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"))
     item = materialize(item.where(F.size("w") > 0), "items")
     short = sorted(r[0] for r in item.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # at most WINDOW - 1 lengths
     lengths = [*short, WINDOW]
@@ -69,8 +69,8 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = materialize(
         item.select(
             F.explode(
-                F.when(F.size("v") >= WINDOW, winnowed(grams(F.col("v"), GRAM))).otherwise(
-                    F.flatten(F.array(F.array().cast("array<bigint>"), *[F.when(F.size("v") == n, grams(F.col("v"), n)).otherwise(F.array().cast("array<bigint>")) for n in short]))
+                F.when(F.size("w") >= WINDOW, winnowed(grams(F.col("w"), GRAM))).otherwise(
+                    F.flatten(F.array(F.array().cast("array<bigint>"), *[F.when(F.size("w") == n, grams(F.col("w"), n)).otherwise(F.array().cast("array<bigint>")) for n in short]))
                 )
             ).alias("mark")
         ).distinct(),
@@ -79,9 +79,9 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_targets, n_marks = targets.count(), marks.count()
 
     base = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("key"))
-    cut = base.select("doc_id", "key", words(F.col("text"), fold=True).alias("v"))
-    kept = cut.select("doc_id", "key", "v", grams(F.col("v"), GRAM).alias("g")).select(
-        "doc_id", "key", F.explode(F.array_distinct(F.concat(winnowed(F.col("g")), *[grams(F.col("v"), n) for n in short]))).alias("mark")
+    cut = base.select("doc_id", "key", words(F.col("text")).alias("w"))
+    kept = cut.select("doc_id", "key", "w", grams(F.col("w"), GRAM).alias("g")).select(
+        "doc_id", "key", F.explode(F.array_distinct(F.concat(winnowed(F.col("g")), *[grams(F.col("w"), n) for n in short]))).alias("mark")
     )
     found = materialize(
         kept.join(_sized(marks, n_marks), "mark", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("mark").alias("marks")), "hits"
@@ -89,18 +89,12 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     one = found.select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key"), "marks")
     joined = base.join(_sized(one, found.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).collect()[0][0]), base["doc_id"].eqNullSafe(F.col("hit_doc")) & (base["key"] == F.col("hit_key")), "left")
-    cut = joined.select(
-        "doc_id",
-        "key",
-        "marks",
-        words(F.col("text"), fold=True).alias("v"),
-        F.when(F.col("marks").isNotNull(), words(F.col("text"))).alias("w"),
-    )
+    cut = joined.select("doc_id", "key", "marks", words(F.col("text")).alias("w"))
 
     def near(n: int) -> Column:
         """Starts of the runs of ``n`` words that hold a hit; a short item's run is its own hash."""
         size, reach = (GRAM, WINDOW - GRAM) if n == WINDOW else (n, 0)
-        at = F.filter(_steps(F.size("v") - (size - 1)), lambda i: F.array_contains("marks", F.xxhash64(F.lit(size), *[F.get(F.col("v"), i + j) for j in range(size)])))
+        at = F.filter(_steps(F.size("w") - (size - 1)), lambda i: F.array_contains("marks", F.xxhash64(F.lit(size), *[F.get(F.col("w"), i + j) for j in range(size)])))
         starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i - reach, i))))
         return F.transform(
             F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size("w"))),
@@ -109,7 +103,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     extended = materialize(
         cut.select(
-            "doc_id", "key", F.size("v").cast("long").alias("n_words"), F.when(F.col("marks").isNotNull(), F.concat(*map(near, lengths))).alias("near")
+            "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.when(F.col("marks").isNotNull(), F.concat(*map(near, lengths))).alias("near")
         ),
         "extended",
     )

@@ -153,6 +153,17 @@ def test_contamination_equals_plain(spark, docs_of):
     assert sum(r[5] for r in want) == 2 and {r[2] for r in want if r[0] == 31} == {0}
 
 
+def test_words_do_not_depend_on_what_stands_beside_them(spark, docs_of):
+    """Java lower-cases a capital sigma by its neighbours, and the Kelvin sign to an ASCII letter."""
+    greek = "ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΚΟΣΜΟΣ ΔΡΟΜΟΣ ΛΑΟΣ ΘΕΟΣ ΒΙΟΣ".split()
+    items = [(1, " ".join(greek)), (2, "ΟΡΟΣ ΤΕΛΟΣ"), (3, "\u212a one \u0130 two three four five six")]
+    docs = [(1, "x " + ".".join(greek) + ".y"), (2, "x ΟΡΟΣ:ΤΕΛΟΣ:y"), (3, "k one i two three four five six"), (4, "\u212a-ONE \u0130 two. Three four five six")]
+    got = decontam.contamination(docs_of(docs), spark.createDataFrame(items, "item_id long, text string"))
+    want = plain_contamination(docs, items)
+    assert [r[2:4] for r in want] == [(9, 1), (2, 1), (0, 0), (8, 1)]
+    assert rows_of(got) == sorted(map(repr, want))
+
+
 def test_shuffled_sides_give_the_same(spark, docs_of, monkeypatch):
     items, docs = items_and_docs()
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
