@@ -3,7 +3,8 @@
 A token's log-probability is conditional on the SIDE words before and after it, itself masked.
 A word is predicted in two steps, its class by a window network and the word within its class
 by the corpus: the TOP most frequent words are classes of their own, all others share classes
-by how they end. Counts come from all documents. The network is trained in numpy on every
+by how they end. Counts come from all documents and stay distributed: texts are scored in
+blocks, whose distinct words are joined with the counts, each word once a block. The network is trained in numpy on every
 partition, on a fixed share of all tokens, and the partitions' parameters are averaged; so both
 what is counted and what is learnt from grow with the corpus, and neither is ever in one place.
 """
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ from .features import NOT_WORD, Texts, mixed
 TOP, ENDINGS, SIDE, HIDDEN = 96, 32, 3, 16
 CLASSES = TOP + ENDINGS
 ABSENT = CLASSES  # the class of what lies beyond a text
-#: Most frequent words whose own counts are sent to every worker; others share what their class has left.
-KNOWN = 50_000
 #: One token in so many is trained on.
 SHARE = 16
 BATCH, RATE, SMALL = 512, 0.1, 1e-6
 #: Distinct words that a task sums up before it passes them on.
 HELD = 1_000_000
+#: Tokens and texts whose words are looked up together.
+BLOCK = 1_000_000
 
 f32 = np.float32
 SHAPES = {"context": (2 * SIDE, CLASSES + 1, HIDDEN), "inner": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
@@ -77,43 +79,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """Of a corpus: its most frequent words, with class and log share of it; what each class has for other words."""
+    """Of a corpus: its most frequent words, which are classes of their own, and what each class has for other words."""
 
     word: np.ndarray  # ascending
     kind: np.ndarray
-    log_share: np.ndarray
-    other: np.ndarray  # log share of any other word of an ending's class
+    mean: np.ndarray  # mean count of the other words of each ending
+    other: np.ndarray  # log share that a word of mean count has of an ending's class
     prior: np.ndarray  # log frequency of the classes
 
     @classmethod
     def of(cls, counts: DataFrame) -> Corpus:
-        common = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+        common = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
         sums = {r["ending"]: (r["n"], r["words"]) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-        mass = np.array([sums.get(e, (0, 0))[0] for e in range(ENDINGS)], float)
-        rest, words = mass.copy(), np.array([sums.get(e, (0, 0))[1] for e in range(ENDINGS)], float)
-        for i, r in enumerate(common):
-            rest[r["ending"]] -= r["n"]
+        mass, words = (np.array([sums.get(e, (0, 0))[i] for e in range(ENDINGS)], float) for i in (0, 1))
+        for r in common:
+            mass[r["ending"]] -= r["n"]
             words[r["ending"]] -= 1
-            if i < TOP:
-                mass[r["ending"]] -= r["n"]
-        kind = np.array([i if i < TOP else TOP + r["ending"] for i, r in enumerate(common)], np.int32)
-        share = np.array([0.0 if i < TOP else np.log(r["n"] / mass[r["ending"]]) for i, r in enumerate(common)])
-        other = np.log(np.maximum(rest, 1) / np.maximum(words, 1) / np.maximum(mass, 1))
-        top = np.array([r["n"] for r in common[:TOP]] + [0] * max(0, TOP - len(common)), float)
+        top = np.array([r["n"] for r in common] + [0] * (TOP - len(common)), float)
         prior = np.log(np.concatenate([top, mass]) + 1)
         word = np.array([r["word"] for r in common], np.int64)
         order = np.argsort(word)
-        return cls(word[order], kind[order], share[order], other, (prior - np.log(np.exp(prior).sum())).astype(f32))
+        mean = np.maximum(mass, 1) / np.maximum(words, 1)
+        return cls(word[order], order.astype(np.int32), mean, -np.log(np.maximum(words, 1)), (prior - np.log(np.exp(prior).sum())).astype(f32))
 
     def classes(self, words: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word, and its log-probability within the class."""
+        """Class of each word, and its log-probability within the class if its count is the class's mean."""
         kind, share = ending + np.int32(TOP), self.other[ending] if len(ending) else np.empty(0)
         if len(self.word):
             at = np.minimum(np.searchsorted(self.word, words), len(self.word) - 1)
             known = self.word[at] == words
-            kind, share = np.where(known, self.kind[at], kind), np.where(known, self.log_share[at], share)
+            kind, share = np.where(known, self.kind[at], kind), np.where(known, 0.0, share)
         return kind, share
 
+    def beyond(self, counts: DataFrame) -> DataFrame:
+        """word, ending, beyond: how far a word's log share lies above that of its class's mean count."""
+        mean = F.element_at(F.array(*[F.lit(float(np.log(m))) for m in self.mean]), F.col("ending") + 1)
+        return counts.select("word", "ending", (F.log("n") - mean).alias("beyond"))
+
 
 def contexts(t: Texts, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Classes of the words around the given ones, numbered by place and class; the text's end is a class."""
@@ -174,7 +176,7 @@ class Network:
 def train(docs: DataFrame, corpus: Corpus) -> Network:
     """Every partition trains from the same start; the mean is weighted by the tokens learnt from."""
     start = Network.fresh(corpus.prior)
-    held = docs.sparkSession.sparkContext.broadcast((corpus, start.p))  # KNOWN words and the network
+    held = docs.sparkSession.sparkContext.broadcast((corpus, start.p))  # TOP words and the network
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, params = held.value
@@ -212,15 +214,55 @@ def train(docs: DataFrame, corpus: Corpus) -> Network:
     return Network(params)
 
 
-def score_texts(texts: list[bytes], corpus: Corpus, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed conditional log-probability of each text."""
-    t, words, ending = tokens(texts)
-    kind, share = corpus.classes(words, ending)
-    logs = share + net.log_prob(contexts(t, kind, np.arange(len(words))), kind)
-    return np.diff(t.word_from), np.bincount(t.word_doc, logs, len(texts))
+PART = "block long, place int, doc_id string, n_tokens long, log_prob double, word long, ending int, places binary"
+RESULT = "doc_id string, n_tokens long, log_prob double, mean_log_prob double"
 
 
-RESULT = "doc_id string, n_tokens long, log_prob double, mean_log_prob double"
+class Block:
+    """Texts whose words are looked up together."""
+
+    def __init__(self, number: int):
+        self.number, self.size, self.count = number, 0, 0
+        self.docs: list[pd.DataFrame] = []
+        self.words: list[np.ndarray] = []  # word, ending, place of its text
+
+    def add(self, ids: pd.Series, texts: list[bytes], corpus: Corpus, net: Network) -> None:
+        t, words, ending = tokens(texts)
+        kind, share = corpus.classes(words, ending)
+        logs = share + net.log_prob(contexts(t, kind, np.arange(len(words))), kind)
+        place = np.arange(self.count, self.count + len(texts))
+        self.docs.append(pd.DataFrame({"place": place, "doc_id": ids.to_numpy(), "n_tokens": np.diff(t.word_from), "log_prob": np.bincount(t.word_doc, logs, len(texts))}))
+        rest = np.flatnonzero(kind >= TOP)
+        self.words.append(np.stack([words[rest], ending[rest], place[t.word_doc[rest]]]))
+        self.count += len(texts)
+        self.size += len(words) + len(texts)
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        """A row of each text; of each word, the places of its texts, as often as it stands there."""
+        docs = pd.concat(self.docs, ignore_index=True)
+        yield docs.assign(block=self.number, word=None, ending=None, places=None)[COLUMNS]
+        rows = np.concatenate(self.words, axis=1)
+        if rows.shape[1]:
+            rows = rows[:, np.argsort(rows[0])]
+            first = np.flatnonzero(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
+            raw, edges = rows[2].astype(np.int32).tobytes(), [*(first * 4).tolist(), rows.shape[1] * 4]
+            places = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            words = pd.DataFrame({"word": rows[0, first], "ending": rows[1, first].astype(np.int32), "places": places})
+            yield words.assign(block=self.number, place=None, doc_id=None, n_tokens=None, log_prob=None)[COLUMNS]
+
+
+COLUMNS = [c.split()[0] for c in PART.split(", ")]
+
+
+def summed(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block's texts, with what their words' shares lie beyond the mean."""
+    docs, words = frame[frame["place"].notna()], frame[frame["places"].notna()]
+    place, n = docs["place"].to_numpy(np.int64), docs["n_tokens"].to_numpy(np.int64)
+    places = np.frombuffer(b"".join(words["places"]), np.int32)
+    beyond = np.repeat(words["beyond"].to_numpy(float), words["places"].map(len).to_numpy(np.int64) // 4)
+    total = docs["log_prob"].to_numpy(float) + np.bincount(places, beyond, len(docs))[place]
+    mean = pd.Series(np.where(n > 0, total / np.maximum(n, 1), 0.0)).astype("Float64").mask(n == 0)
+    return pd.DataFrame({"doc_id": docs["doc_id"].array, "n_tokens": n, "log_prob": total, "mean_log_prob": mean.array})
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -232,18 +274,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
     that repeat are counted and scored each; words of equal frequency rank by their hash; an
     empty table gives an empty table; other columns are not read.
     """
-    corpus = Corpus.of(materialize(word_counts(docs), "words"))
+    counts = materialize(word_counts(docs), "words")
+    corpus = Corpus.of(counts)
     net = train(docs, corpus)
     held = docs.sparkSession.sparkContext.broadcast((corpus, net.p))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, params = held.value
+        net = Network(params)
+        block = Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            found = [score_texts(part, own, Network(params)) for part in chunks(batch["text"])]
-            n, total = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0))
-            mean = pd.Series(np.where(n > 0, total / np.maximum(n, 1), 0.0)).astype("Float64").mask(n == 0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "log_prob": total, "mean_log_prob": mean.array})
-
-    # as text, since pandas would turn integers with nulls into floating point
-    scored = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, RESULT)
+            done = 0
+            for part in chunks(batch["text"]):
+                block.add(batch["doc_id"].iloc[done : done + len(part)], part, own, net)
+                done += len(part)
+                if block.size >= BLOCK:
+                    yield from block.frames()
+                    block = Block(block.number + 1)
+        if block.count:
+            yield from block.frames()
+
+    # ids as text, since pandas would turn integers with nulls into floating point
+    parts = materialize(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, PART), "parts")
+    words = parts.where(F.col("word").isNotNull()).select("block", "word", "ending", "places").join(corpus.beyond(counts), ["word", "ending"])
+    texts = parts.where(F.col("place").isNotNull()).select("block", "place", "doc_id", "n_tokens", "log_prob")
+    scored = texts.unionByName(words.select("block", "places", "beyond"), allowMissingColumns=True).groupBy("block").applyInPandas(summed, RESULT)
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

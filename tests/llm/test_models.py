@@ -214,3 +214,30 @@ def test_pseudo_likelihood_odd(odd, docs_of):
     got = [tuple(r) for r in pseudo_lm.score_documents(odd).collect()]
     assert len(got) == len(ODD) and {(1, 0, 0.0, None), (2, 0, 0.0, None), (3, 0, 0.0, None)} <= set(got)
     assert pseudo_lm.score_documents(docs_of([])).count() == 0
+
+
+def test_every_word_keeps_its_own_count(docs_of, monkeypatch):
+    """Scores are those that a text's words have by their own counts, however rare, in blocks of any size."""
+    rows = [(i, prose(i, 40) + " " + " ".join(f"w{j}x" for j in range(60 * (i % 4), 60 * (i % 4) + 200))) for i in range(12)] + [(20, "only here w3x w3x"), (21, "")]
+    docs = docs_of(rows)
+    # ranks below the number of words must not matter either, where the module has such a bound
+    monkeypatch.setattr(pseudo_lm, "KNOWN", pseudo_lm.TOP, raising=False)
+    counts = {(r["word"], r["ending"]): r["n"] for r in pseudo_lm.word_counts(docs).collect()}
+    corpus = pseudo_lm.Corpus.of(pseudo_lm.word_counts(docs))
+    net = pseudo_lm.Network.fresh(corpus.prior)
+    monkeypatch.setattr(pseudo_lm, "train", lambda docs, corpus: net)
+    kinds = {k: int(corpus.classes(np.array([k[0]]), np.array([k[1]]))[0][0]) for k in counts}
+    mass = {}
+    for k, n in counts.items():
+        mass[kinds[k]] = mass.get(kinds[k], 0) + n
+    want = {}
+    for i, text in rows:
+        t, words, ending = pseudo_lm.tokens([text.encode()])
+        kind = np.array([kinds[k] for k in zip(words.tolist(), ending.tolist(), strict=True)], np.int32)
+        logs = net.log_prob(pseudo_lm.contexts(t, kind, np.arange(len(words))), kind) if len(words) else np.empty(0)
+        want[i] = logs.sum() + sum(np.log(counts[k] / mass[kinds[k]]) for k in zip(words.tolist(), ending.tolist(), strict=True))
+    assert len(counts) > 2 * pseudo_lm.TOP and len(set(counts.values())) > 5
+    for block in (1_000_000, 1):
+        monkeypatch.setattr(pseudo_lm, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: r["log_prob"] for r in pseudo_lm.score_documents(docs).collect()}
+        assert got == pytest.approx(want, rel=1e-6)
