@@ -5,8 +5,8 @@ A word is predicted in two steps, its class by a window network and the word wit
 by the corpus: the TOP most frequent words are classes of their own, all others share classes
 by how they end. Counts come from all documents and stay distributed: texts are scored in
 blocks, whose distinct words are joined with the counts, each word once a block. The network is trained in numpy on every
-partition, on a fixed share of all tokens, and the partitions' parameters are averaged; so both
-what is counted and what is learnt from grow with the corpus, and neither is ever in one place.
+partition, on every token, and the partitions' parameters are averaged; so both what is counted
+and what is learnt from grow with the corpus, and neither is ever in one place.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from .features import NOT_WORD, Texts, mixed
 TOP, ENDINGS, SIDE, HIDDEN = 96, 32, 3, 16
 CLASSES = TOP + ENDINGS
 ABSENT = CLASSES  # the class of what lies beyond a text
-#: One token in so many is trained on.
-SHARE = 16
 BATCH, RATE, SMALL = 512, 0.1, 1e-6
 #: Distinct words that a task sums up before it passes them on.
 HELD = 1_000_000
@@ -154,23 +152,22 @@ class Network:
 
     def learn(self, around: np.ndarray, kind: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         h = self.hidden(around)
-        logit = h @ self.p["out"] + self.p["bias"]
-        logit -= logit.max(axis=1, keepdims=True)
-        prob = np.exp(logit)
-        prob /= prob.sum(axis=1, keepdims=True)
-        prob[np.arange(len(kind)), kind] -= 1
-        prob /= len(kind)
+        prob = h @ self.p["out"]
+        prob += self.p["bias"]
+        np.clip(prob, -60, 60, out=prob)
+        np.exp(prob, out=prob)
+        prob /= (prob @ np.full(CLASSES, len(kind), f32))[:, None]
+        prob[np.arange(len(kind)), kind] -= f32(1 / len(kind))
         back = (prob @ self.p["out"].T) * (1 - h * h)
         grads = {"out": h.T @ prob, "bias": prob.sum(axis=0), "inner": back.sum(axis=0)}
         for k, g in grads.items():
             squares[k] += g * g
             self.p[k] -= RATE * g / np.sqrt(squares[k])
-        rows, which = np.unique(around, return_inverse=True)
-        g = np.zeros((len(rows), HIDDEN), f32)
-        np.add.at(g, which.ravel(), np.repeat(back, around.shape[1], axis=0))
         table, square = self.p["context"].reshape(-1, HIDDEN), squares["context"].reshape(-1, HIDDEN)
-        square[rows] += g * g
-        table[rows] -= RATE * g / np.sqrt(square[rows])
+        at, each = around.T.ravel(), np.tile(back.T.astype(float), around.shape[1])
+        g = np.stack([np.bincount(at, unit, len(table)) for unit in each], axis=1).astype(f32)
+        square += g * g
+        table -= RATE * g / np.sqrt(square)
 
 
 def train(docs: DataFrame, corpus: Corpus) -> Network:
@@ -187,12 +184,10 @@ def train(docs: DataFrame, corpus: Corpus) -> Network:
             for part in chunks(batch["text"]):
                 t, words, ending = tokens(part)
                 kind, _ = own.classes(words, ending)
-                place = (np.arange(len(words)) - t.word_from[t.word_doc]).astype(np.uint64)
-                chosen = np.flatnonzero(mixed(words.view(np.uint64) ^ mixed(place + np.uint64(1))) >> np.uint64(40) & np.uint64(SHARE - 1) == 0)
-                around = contexts(t, kind, chosen)
-                for i in range(0, len(chosen), BATCH):
-                    net.learn(around[i : i + BATCH], kind[chosen[i : i + BATCH]], squares)
-                learnt += len(chosen)
+                around = contexts(t, kind, np.arange(len(words)))
+                for i in range(0, len(words), BATCH):
+                    net.learn(around[i : i + BATCH], kind[i : i + BATCH], squares)
+                learnt += len(words)
         if learnt:
             yield pd.DataFrame({"tokens": [float(learnt)], "values": [np.concatenate([net.p[k].ravel() for k in SHAPES])]})
 

@@ -241,3 +241,14 @@ def test_every_word_keeps_its_own_count(docs_of, monkeypatch):
         monkeypatch.setattr(pseudo_lm, "BLOCK", block, raising=False)
         got = {r["doc_id"]: r["log_prob"] for r in pseudo_lm.score_documents(docs).collect()}
         assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_every_token_is_learnt_from(docs_of):
+    """Also of a text that repeats in all rows, where a sixteenth by word and place has no token of this one."""
+    docs = docs_of([(i, prose(0, 12)) for i in range(200)])
+    corpus = pseudo_lm.Corpus.of(pseudo_lm.word_counts(docs))
+    t, words, ending = pseudo_lm.tokens([prose(0, 12).encode()])
+    kind, _ = corpus.classes(words, ending)
+    around = pseudo_lm.contexts(t, kind, np.arange(len(words)))
+    fresh, trained = (net.log_prob(around, kind).mean() for net in (pseudo_lm.Network.fresh(corpus.prior), pseudo_lm.train(docs, corpus)))
+    assert trained > fresh + 1
