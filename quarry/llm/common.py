@@ -6,11 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Texts longer than this many characters are never drawn into a training sample.
-SAMPLE_MAX_CHARS = 65_536
+#: Rows of a training sample over all labels, at most, and the shares in which a label's rows are ranked first.
+SAMPLE_ROWS, SAMPLE_SHARES = 50_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,19 +63,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class:
     """At most ``per_class`` (text, label) rows of each label value, chosen by a hash of the id.
 
     ``labels`` has doc_id and label; ``keep`` is a condition on doc_id. An id with several
-    labels counts with the largest, an id with several texts with the smallest. The list is
-    ordered by that hash, so that it does not depend on how the tables are partitioned.
+    labels counts with the largest, an id with several texts with the smallest. All rows are
+    drawn from, texts of any length among them, and every label value has its rows: where
+    there are so many values that all would be more than SAMPLE_ROWS, each has fewer, and
+    beyond SAMPLE_ROWS values this is an error. The list is ordered by the hash, so that it
+    does not depend on how the tables are partitioned. Texts are held whole by the driver.
     """
-    ids = docs.where(keep & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_MAX_CHARS)).select("doc_id").distinct()
+    ids = docs.where(keep & F.col("text").isNotNull()).select("doc_id").distinct()
     known = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     drawn = ids.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
-    values = [r[0] for r in known.select("label").distinct().orderBy("label").limit(1000).collect()]
-    rows: list = []
-    for value in values:
-        rows += drawn.where(F.col("label") == F.lit(value)).orderBy("draw", "doc_id").limit(per_class).collect()
-    if not rows:
+    drawn = drawn.withColumn("share", F.pmod("draw", F.lit(SAMPLE_SHARES)))
+    # the first of each label's shares, then of each label, so that no task sorts all of a label
+    for keys in (["label", "share"], ["label"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
+        drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= per_class)
+    picked = materialize(drawn.select("doc_id", "label", "draw", "rank"), "sample")
+    values = picked.select("label").distinct().count()
+    if not values:
         return []
-    picked = docs.sparkSession.createDataFrame(rows, drawn.schema)  # at most per_class rows a label
+    if values > SAMPLE_ROWS:
+        raise ValueError(f"{values} label values; a sample has at most {SAMPLE_ROWS} rows")
+    picked = picked.where(F.col("rank") <= SAMPLE_ROWS // values).drop("rank")  # at most SAMPLE_ROWS
     texts = (
         docs.where(F.col("text").isNotNull())
         .select("doc_id", "text")

@@ -61,6 +61,26 @@ class Texts:
         return mixed(code + np.uint64(n) * BASE)
 
 
+class Characters:
+    """The characters of some texts as numbers; a text's range has one space after it."""
+
+    def __init__(self, texts: list[bytes]):
+        own = [t.decode("utf-8", "replace") for t in texts]
+        gap = " " * GAP
+        self.data = np.frombuffer((gap.join(own) + gap).encode("utf-32-le", "replace"), np.uint32)
+        lengths = np.array([len(t) for t in own], np.int64)
+        self.starts = np.cumsum(lengths + GAP) - lengths - GAP
+        self.ends = self.starts + lengths + 1
+
+    def grams(self, n: int) -> np.ndarray:
+        """A 64-bit hash of the n characters from each place on, n up to GAP."""
+        data = np.concatenate([self.data, np.full(n - 1, 32, np.uint32)]).astype(np.uint64)
+        code = data[: len(self.data)].copy()
+        for k in range(1, n):
+            code = code * BASE + data[k : k + len(self.data)]
+        return mixed(code + np.uint64(n) * BASE)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x * MIX
     return x ^ x >> np.uint64(29)

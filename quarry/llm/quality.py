@@ -1,7 +1,7 @@
 """Quality classifier of supervised subword embeddings.
 
 A document is the mean of learned vectors: one for each word, one for each run of three and
-four bytes (both hashed to buckets), and one for each word that repeats the word before it. A
+four characters (both hashed to buckets), and one for each word that repeats the word before it. A
 softmax over two outputs follows. Vectors and outputs are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled documents. Scoring needs no vector: the
 output is linear in the mean, so each bucket's part of it is computed once.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, fold, labelled_sample
-from .features import Texts, sums
+from .features import Characters, Texts, sums
 
 #: Labelled documents of each class that a training sample has at most.
 SAMPLE = 2000
@@ -42,9 +42,10 @@ class Model:
         again = repeats(t, words)
         total += np.bincount(t.word_doc[again], minlength=t.count) * float(self.weight[REPEAT])
         count = np.diff(t.word_from) + np.bincount(t.word_doc[again], minlength=t.count)
+        letters = Characters(texts)
         for n in GRAMS:
-            total += sums(self.weight[gram_buckets(t, n)], t.starts, t.ends)
-            count = count + (t.ends - t.starts)
+            total += sums(self.weight[gram_buckets(letters, n)], letters.starts, letters.ends)
+            count = count + (letters.ends - letters.starts)
         return 1 / (1 + np.exp(-np.clip(total / count + self.bias, -30, 30)))
 
 
@@ -52,7 +53,7 @@ def buckets(t: Texts) -> np.ndarray:
     return (t.words() % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
 
 
-def gram_buckets(t: Texts, n: int) -> np.ndarray:
+def gram_buckets(t: Characters, n: int) -> np.ndarray:
     return (t.grams(n) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
 
 
@@ -63,9 +64,9 @@ def repeats(t: Texts, words: np.ndarray) -> np.ndarray:
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of one document, and their share of all its features."""
-    t = Texts([text])
+    t, letters = Texts([text]), Characters([text])
     words = buckets(t)
-    grams = [gram_buckets(t, n)[: t.ends[0]] for n in GRAMS]
+    grams = [gram_buckets(letters, n)[: letters.ends[0]] for n in GRAMS]
     every = np.concatenate([words, np.full(len(repeats(t, words)), REPEAT, np.int32), *grams])
     found, times = np.unique(every, return_counts=True)
     return found, (times / len(every)).astype(np.float32)
@@ -135,5 +136,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
+    """The rows of ``docs``, with all their columns, that the classifier does not reject.
+
+    Every row is judged by its own text and as ``quality`` judges it: null and empty texts by
+    the score they have there, repeated rows each, rows without an id like any others. Without
+    two classes of labels all rows have one score, which is kept from the threshold on.
+    """
     return docs.where(scorer(docs.sparkSession, fit(docs, labels))(F.col("text")) >= threshold)

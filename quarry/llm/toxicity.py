@@ -278,5 +278,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
+    """The rows of ``docs``, with all their columns, that are not predicted toxic.
+
+    Every row is judged by its own text and as ``toxicity`` judges it: null texts and those
+    without words by the score they have there, repeated rows each, rows without an id like
+    any others. Without two classes of labels all rows have one score.
+    """
     return docs.where(scorer(docs.sparkSession, fit(docs, labels))(F.col("text")) < threshold)

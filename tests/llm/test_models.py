@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, pseudo_lm, quality, toxicity
+from quarry.llm import common, langid, pseudo_lm, quality, toxicity
 from quarry.llm.common import fold, labelled_sample
-from quarry.llm.features import Texts, sums
+from quarry.llm.features import Characters, Texts, sums
 
 from .conftest import ODD, prose
 
@@ -38,6 +38,18 @@ def test_samples_are_bounded_and_stable(docs_of, spark):
     assert sorted(y for _, y in a) == [0] * 8 + [1] * 8 and "text 5" not in {t for t, _ in a}
 
 
+def test_samples_keep_long_texts_and_every_label(docs_of, spark, monkeypatch):
+    d = docs_of([(i, "x" * 200_000 if i % 2 else f"t{i}") for i in range(40)])
+    known = spark.createDataFrame([(i, f"l{i // 2:04d}") for i in range(40)], "doc_id long, label string")
+    every = labelled_sample(d, known, F.lit(True), 5, 1)
+    assert len(every) == 40 and sum(len(t) == 200_000 for t, _ in every) == 20
+    monkeypatch.setattr(common, "SAMPLE_ROWS", 25)
+    assert len({y for _, y in labelled_sample(d, known, F.lit(True), 5, 1)}) == 20 == len(labelled_sample(d, known, F.lit(True), 5, 1))
+    monkeypatch.setattr(common, "SAMPLE_ROWS", 10)
+    with pytest.raises(ValueError, match="label values"):
+        labelled_sample(d, known, F.lit(True), 5, 1)
+
+
 def test_words_and_grams_do_not_depend_on_neighbours():
     texts = ["one two", "", "three  four\n", "é", "x" * 300]
     together = Texts([t.encode() for t in texts])
@@ -51,6 +63,30 @@ def test_words_and_grams_do_not_depend_on_neighbours():
             assert (together.grams(n)[together.starts[i] : together.ends[i]] == alone.grams(n)[: alone.ends[0]]).all()
 
 
+def test_characters_are_whole():
+    texts = ["naïve", "", "日本語x", "😀a"]
+    together = Characters([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        alone = Characters([t.encode()])
+        assert alone.ends[0] == len(t) + 1
+        for n in (1, 3, 4):
+            assert (together.grams(n)[together.starts[i] : together.ends[i]] == alone.grams(n)[: alone.ends[0]]).all()
+
+
+def plain_word(word):
+    """The hash of a word's bytes, one by one."""
+    code = sum((b + 1) * pow(0x100000001B3, i, 1 << 64) for i, b in enumerate(word)) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return code ^ code >> 29
+
+
+def plain_gram(units, n, base):
+    code = 0
+    for u in units:
+        code = code * base + u
+    code = (code + n * 0x100000001B3) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return code ^ code >> 29
+
+
 def test_sums_of_ranges_with_gaps():
     v = np.arange(20.0)
     assert sums(v, np.array([0, 3, 5, 9]), np.array([2, 3, 8, 20])).tolist() == [1.0, 0.0, 18.0, sum(range(9, 20))]
@@ -92,9 +128,45 @@ def test_language_odd(odd, docs_of):
     assert {r["lang_pred"] for r in langid.language(docs_of([(1, "abc")]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_equals_plain_scorer(docs_of):
+    """Gram by gram, bit by bit, codeword by codeword."""
+    sample = [(prose(i, 40), "en") for i in range(20)] + [(" ".join(w[::-1] for w in prose(i, 40).split()), "rev") for i in range(20)] + [("ñandú École " * 9, "es")] * 5
+    model = langid.train(sample)
+    texts = [t or "" for _, t in ODD] + ["Éa", prose(5, 3)]
+    for text, (_, got) in zip(texts, model.predict(texts).iterrows(), strict=True):
+        if not any(c.isalpha() for c in text):
+            assert got["lang_pred"] == "und"
+            continue
+        raw = (" " + " ".join(text.lower().split())).encode() + b" "
+        margin = np.zeros(model.code.shape[1])
+        for n in langid.GRAMS:
+            padded = raw + b" " * (n - 1)
+            for at in range(len(raw)):
+                margin += model.weight[plain_gram(padded[at : at + n], n, 256) % langid.BUCKETS]
+        margin = margin / (len(langid.GRAMS) * len(raw)) + model.bias
+        loss = [sum(np.log1p(np.exp(-m * b)) for m, b in zip(margin, row, strict=True)) for row in model.code]
+        assert got["lang_pred"] == model.names[int(np.argmin(loss))]
+        assert got["score"] == pytest.approx(1 / sum(np.exp(min(loss) - x) for x in loss), rel=1e-4)
+
+
 # -- quality --------------------------------------------------------------------------------
 
 
+def test_quality_equals_plain_scorer():
+    """Feature by feature."""
+    model = quality.train([(prose(i, 40), 1) for i in range(20)] + [("junk junk ñ日 " * 9 + prose(i, 4), 0) for i in range(20)])
+    for text in [t or "" for _, t in ODD] + ["Éa éa 日本語", "a a a"]:
+        words, letters = text.encode().split(b" ") if "\n" not in text else text.encode().split(), [ord(c) for c in text + " "]
+        words = [w for w in words if w]
+        found = [plain_word(w) % (quality.BUCKETS - 1) + 1 for w in words]
+        found += [quality.REPEAT for a, b in zip(words, words[1:], strict=False) if a == b]
+        for n in quality.GRAMS:
+            padded = letters + [32] * n
+            found += [plain_gram(padded[at : at + n], n, 0x100000001B3) % (quality.BUCKETS - 1) + 1 for at in range(len(letters))]
+        want = 1 / (1 + np.exp(-(sum(float(model.weight[b]) for b in found) / len(found) + model.bias)))
+        assert model.score([text.encode()])[0] == pytest.approx(want, rel=1e-4)
+
+
 def test_quality_held_out(documents, labels):
     found = quality.quality(documents, labels).join(labels, "doc_id").toPandas()
     held = found[found["held_out"]]
@@ -147,6 +219,45 @@ def test_gradients():
         toxicity.f32 = old
 
 
+def test_toxicity_equals_plain_scorer():
+    """Window by window, state by state."""
+    net = toxicity.train([(prose(i, 50) + (" awful fool " if i % 2 else ""), i % 2) for i in range(30)])
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    H = toxicity.HIDDEN
+
+    def vector(word):
+        padded, grams = word + b"\0\0", []
+        for at in range(len(word)):
+            code = 0
+            for b in padded[at : at + 3]:
+                code = code << 8 | b
+            code = (code + (at == 0) * 0x100000001B3) * 0x9E3779B97F4A7C15 % (1 << 64)
+            grams.append(p["gram"][(code ^ code >> 29) % toxicity.GRAMS])
+        return np.concatenate([p["word"][plain_word(word) % toxicity.WORDS], np.mean(grams, axis=0)])
+
+    def states(xs, side):
+        h, out = np.zeros(H), []
+        for x in xs:
+            g, v = x @ p[f"x{side}"] + p[f"c{side}"], h @ p[f"h{side}"]
+            z, r = (1 / (1 + np.exp(-(g[i * H : i * H + H] + v[i * H : i * H + H]))) for i in (0, 1))
+            h = z * h + (1 - z) * np.tanh(g[2 * H :] + r * v[2 * H :])
+            out.append(h)
+        return out
+
+    for text in (prose(1, 5), prose(2, 33) + " awful fool", prose(3, 100), "É Ça va"):
+        words = [w for w in "".join(c.lower() if c < "\x80" and c.isalnum() else c if c >= "\x80" else " " for c in text).encode().split(b" ") if w]
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP) if len(words) > toxicity.WINDOW else [0]
+        best = 0.0
+        for start in starts:
+            start = min(start, max(0, len(words) - toxicity.WINDOW))
+            xs = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+            both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+            e = np.exp([s @ p["attend"] for s in both])
+            pooled = sum(a * s for a, s in zip(e / e.sum(), both, strict=True))
+            best = max(best, 1 / (1 + np.exp(-(pooled @ p["out"] + p["bias"][0]))))
+        assert net.score([text.encode()])[0] == pytest.approx(best, rel=1e-3)
+
+
 def test_windows_cover_and_overlap():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         lex = toxicity.Lexicon([" ".join(f"w{i}" for i in range(n)).encode()])
