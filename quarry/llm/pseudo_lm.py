@@ -187,7 +187,7 @@ def learnt(docs: DataFrame) -> DataFrame:
     shards = -(-size // SHARD) or 1
     mark = F.xxhash64("text", F.col("doc_id").cast("string"))
     dealt = docs.where(F.length("text") > 0).select(F.pmod(mark, F.lit(shards)).alias("shard"), mark.alias("mark"), "text")
-    dealt = dealt.repartition(int(shards), "shard").sortWithinPartitions("shard", "mark").select("shard", "text")
+    dealt = dealt.repartitionById(int(shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "mark").select("shard", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [np.empty((2, 0), np.int64)], 0
