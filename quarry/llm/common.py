@@ -9,8 +9,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a training sample over all labels, at most, and the shares in which a label's rows are ranked first.
-SAMPLE_ROWS, SAMPLE_SHARES = 50_000, 64
+#: Rows of a training sample over all labels, at most; leading bits of the hash that draws them by which they are counted first.
+SAMPLE_ROWS, SAMPLE_BITS = 50_000, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +72,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class:
     ids = docs.where(keep & F.col("text").isNotNull()).select("doc_id").distinct()
     known = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     drawn = ids.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
-    drawn = drawn.withColumn("share", F.pmod("draw", F.lit(SAMPLE_SHARES)))
-    # the first of each label's shares, then of each label, so that no task sorts all of a label
-    for keys in (["label", "share"], ["label"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
-        drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= per_class)
-    picked = materialize(drawn.select("doc_id", "label", "draw", "rank"), "sample")
+    drawn = drawn.withColumn("part", F.shiftrightunsigned("draw", 64 - SAMPLE_BITS).cast("int"))
+    # as many of each label's parts as hold its first rows, so that no task sorts all of a label
+    before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = drawn.groupBy("label", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    first = drawn.join(parts.where(F.col("before") < per_class).select("label", "part"), ["label", "part"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("part", "draw", "doc_id"))
+    picked = materialize(first.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label", "draw", "rank"), "sample")
     values = picked.select("label").distinct().count()
     if not values:
         return []
