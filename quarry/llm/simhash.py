@@ -28,10 +28,14 @@ LEAST = BYTES - BITS
 #: Posting lists up to this length are compared pair by pair; longer ones go by neighbourhoods.
 LONG_LIST = 4096
 BROADCAST_ROWS = 500_000
+#: Fingerprints whose postings one task makes, and shares in which a large component learns its smallest id.
+TASK_PRINTS, SHARES = 16_384, 32
 
 PLACES = list(combinations(range(BYTES), LEAST))
-#: For each set of shared positions, as a bit mask, the posting list in which such a pair counts (-1: too few).
-FIRST_LIST = np.array([PLACES.index(p) if len(p := tuple(b for b in range(BYTES) if mask >> b & 1)[:LEAST]) == LEAST else -1 for mask in range(256)])
+#: For each set of shared positions, as a bit mask: how many they are, and the posting list of the
+#: first LEAST of them, in which such a pair counts (-1: they are fewer).
+TALLY = np.array([mask.bit_count() for mask in range(256)])
+FIRST_LIST = np.array([PLACES.index(tuple(b for b in range(BYTES) if mask >> b & 1)[:LEAST]) if TALLY[mask] >= LEAST else -1 for mask in range(256)])
 LOW_BITS = np.uint64(0x0101010101010101)
 
 
@@ -97,7 +101,7 @@ def forest(posting_list: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
         a, b = np.nonzero(np.bitwise_count(differ) <= BITS)
         a, b, differ = a + at, b, differ[a, b]
         shared = sum(((differ >> np.uint64(8 * p) & np.uint64(255)) == 0).astype(np.int64) << p for p in range(BYTES))
-        keep = (a < b) & (FIRST_LIST[shared] == posting_list)
+        keep = (a < b) & (TALLY[shared] >= LEAST) & (FIRST_LIST[shared] == posting_list)
         ours.append(a[keep])
         theirs.append(b[keep])
     a, b = np.concatenate(ours), np.concatenate(theirs)
@@ -149,7 +153,8 @@ def _long_lists(rows: DataFrame) -> DataFrame:
 def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """Edges u, v between distinct fingerprints ``fp`` whose components are those of all pairs
     that differ in at most BITS bits. Never more edges than members from one posting list."""
-    postings = prints.select("fp", F.explode(list_keys(F.col("fp"))).alias("key"))
+    tasks = -(-prints.count() // TASK_PRINTS) or 1
+    postings = prints.select("fp").repartition(int(tasks), "fp").select("fp", F.explode(list_keys(F.col("fp"))).alias("key"))
     lists = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "lists")
     few = lists.count() <= BROADCAST_ROWS
     rows = postings.join(F.broadcast(lists) if few else lists, "key")
@@ -159,44 +164,65 @@ def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return short.unionByName(_long_lists(rows.where(F.col("n") > long_list).select("key", "fp")))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Tells rows that share an id apart by their texts."""
+    return F.xxhash64(docs["text"], docs["doc_id"])
+
+
+def _grouped(docs: DataFrame, long_list: int) -> DataFrame:
+    """doc_id, key, fp, component_id, root of every row."""
+    marked = materialize(docs.select("doc_id", _row_key(docs).alias("key"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
+    roots = materialize(components(links(groups, long_list)), "roots")
+    # only prints with links have others to ask; a component's rows learn its smallest id in shares
+    share = F.pmod(F.xxhash64("fp"), F.lit(SHARES))
+    linked = groups.join(roots, groups["fp"] == roots["node"]).select("fp", "low", "root", share.alias("share"))
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    told = lowest.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    joined = linked.join(told, ["root", "share"]).select("fp", "component_id", "root")
+    alone = groups.join(roots, groups["fp"] == roots["node"], "left_anti").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("root"))
+    by_print = joined.unionByName(alone).withColumnRenamed("fp", "own")
+    return marked.join(by_print, marked["fp"] == F.col("own"), "left").drop("own")
+
+
 def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, fingerprint, component_id, root of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id among all documents reachable over links, itself
-    included; root is the component's smallest fingerprint as a signed number. Null ids never are the smallest, and a component of null ids has a null
-    component_id. A null text is empty; texts without words have fingerprint zero and are
-    linked like any others. Copies share a fingerprint and are summed up before the index is
-    built, so a group of copies is one entry of it, and repeated rows change nothing. An
-    empty table gives an empty table; other columns are not read.
+    included; root is the component's smallest fingerprint as a signed number. Null ids never
+    are the smallest, and a component of null ids has a null component_id. A null text is
+    empty; texts without words have fingerprint zero and are linked like any others. Copies
+    share a fingerprint and are summed up before the index is built, so a group of copies is
+    one entry of it, and repeated rows change nothing. An empty table gives an empty table;
+    other columns are not read.
     """
-    marked = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
-    groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
-    roots = components(links(groups, long_list))
-    placed = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = placed.join(lowest, "root").select(F.col("fp").alias("own"), "component_id", "root")
-    return marked.join(by_print, marked["fp"] == F.col("own"), "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
-    )
+    return _grouped(docs, long_list).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id, all columns kept.
 
-    Rows that repeat a kept id are one document, of which one row stays. A document without
-    an id goes if its component has one with an id; of others without an id, one row of each
-    fingerprint's component stays.
+    Rows are judged by their own texts, also where they share an id: a row goes if another of
+    its component has a smaller id, or the same id and comes first by a hash of its text; of
+    rows with the same id and text one stays. So unrelated texts of one id all stay. A document
+    without an id goes if its component has one with an id; of others without an id, one row
+    of each component stays. Null and empty texts are one component.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
+    found = materialize(_grouped(docs.select("doc_id", "text"), LONG_LIST), "grouped")
+    again = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    again = materialize(again.where(F.col("n") > 1).select("doc_id", "root", "first"), "again")
+    later = found.join(again, ["doc_id", "root"]).where(F.col("key") != F.col("first")).select("doc_id", "key")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id", "key").unionByName(later).distinct()
+    gone = materialize(gone.withColumnsRenamed({"doc_id": "gone_doc", "key": "gone_key"}), "copies")
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    if kept.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    same = (docs["doc_id"] == gone["gone_doc"]) & (_row_key(docs) == gone["gone_key"])
+    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if again.limit(1).count():
+        ids = again.select("doc_id").distinct()
+        kept = kept.join(ids, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(ids, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
     nameless = docs.where(F.col("doc_id").isNull())
     if nameless.limit(1).count():
-        alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).groupBy("root").agg(F.min("fingerprint").alias("mark"))
-        mark = F.lower(F.lpad(F.hex(fingerprint(F.col("text"))), 16, "0"))
-        rows = nameless.select(mark.alias("mark"), F.struct(*docs.columns).alias("row")).join(alone, "mark", "left_semi")
+        alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("mark"))
+        rows = nameless.select(fingerprint(F.col("text")).alias("mark"), F.struct(*docs.columns).alias("row")).join(alone, "mark", "left_semi")
         kept = kept.select(docs.columns).unionByName(rows.dropDuplicates(["mark"]).select("row.*"))
     return kept.select(docs.columns)
