@@ -1,4 +1,4 @@
-"""Operators on tokens and vectors: counts, packing, nearest neighbours; the pipeline as a whole."""
+"""Operators on tokens and vectors: counts, packing, nearest neighbours."""
 
 import random
 import zlib
@@ -110,6 +110,13 @@ def test_windows_rules():
     assert sorted(x[2] for own in w.rest() for x in own) == ["d", "e"]
 
 
+def test_both_encoders_give_the_library_ids(model):
+    """Strange texts, and runs that nothing cuts: the faster encoder, and from LONG_RUN on the library itself."""
+    code = packing.Encoder(PATH)
+    for text in [*strange(3000, 7), "a" * 999, "a" * 1000, "ab" * 2000, " " * 999 + "x", " " * 3000, "日" * 1200, "x " * 4000 + "é" * 1001]:
+        assert np.frombuffer(code.encode(text), "<u4").tolist() == [*model.encode(text, add_special_tokens=False).ids, 0]
+
+
 # -- nearest neighbours ---------------------------------------------------------------------
 
 
@@ -144,6 +151,50 @@ def test_factor_one_is_exact(spark, vectors, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
 
 
+def test_regions_bound_distances():
+    draw = np.random.default_rng(2)
+    x, q = draw.normal(size=(600, 6)), draw.normal(size=(40, 6))
+    regions = vptree.Regions(x[:300], 16)
+    own, bounds = regions.of(x), regions.bounds(q)
+    far = vptree.distances(q, x)
+    assert regions.count == 16 and set(own.tolist()) == set(range(16))
+    assert all((far[:, own == r].min(axis=1) >= bounds[:, r] - 1e-12).all() for r in range(16)) and (bounds > 0).any()
+    assert vptree.Regions(np.ones((50, 3)), 8).count == 1
+
+
+@pytest.mark.parametrize("kind", ["clusters", "low rank", "round"])
+def test_recall_with_a_fitted_factor(spark, monkeypatch, kind):
+    """Over several regions, parts and blocks; where vectors are not equidistant, trees save work."""
+    monkeypatch.setattr(vptree, "SHARD", 400)
+    monkeypatch.setattr(vptree, "BLOCK", 20)
+    monkeypatch.setattr(vptree, "SAMPLE", 1000)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(3000, 24))
+    if kind == "clusters":
+        x = draw.normal(size=(40, 24))[draw.integers(40, size=3000)] + 0.05 * x
+    elif kind == "low rank":
+        x = draw.normal(size=(3000, 4)) @ draw.normal(size=(4, 24)) + 0.001 * x
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(table(spark, rows), F.col("vec_id") % 50 == 0).collect()}
+    own = dict(rows)
+    want = {(w[0], w[2]) for w in plain_nearest([(i, np.float32(v).astype(float).tolist()) for i, v in own.items()], 10, 50)}
+    assert len(got & want) / len(want) >= 0.95 and len(got) == len(want)
+    if kind != "round":
+        tree = vptree.Tree(x, np.arange(3000))
+        tree.search(x[::50], np.arange(0, 3000, 50), 10, vptree.fitting_factor(x[:1000], 10))
+        assert tree.visited < 0.5 * 60 * 3000
+
+
+def test_repeated_ids_do_not_depend_on_partitions(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i % 150, np.round(draw.normal(size=3), 2).tolist()) for i in range(400)]
+    least = {i: min(np.float32(v).tolist() for j, v in rows if j == i) for i in range(150)}
+    want = plain_nearest(sorted(least.items()), 10, 50)
+    for parts in (1, 4):
+        got = sorted(tuple(r) for r in vptree.nearest(table(spark, rows).repartition(parts), F.col("vec_id") % 50 == 0, factor=1.0).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_recall(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect()}
@@ -156,31 +207,3 @@ def test_unusable_vectors(spark):
     got = [tuple(r) for r in vptree.nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect()]
     assert got == [(0, 1, 3, 1.0)]
     assert vptree.nearest(table(spark, []), F.col("vec_id") % 100 == 0).count() == 0
-
-
-# -- the pipeline ---------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark, model):
-    import corpus_pipeline
-    from quarry.llm import decontam, quality, simhash, toxicity
-    from quarry.llm.common import materialize
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
-    judges = {
-        "quality": lambda d: quality.quality(d, labels).where("predicted = 1"),
-        "toxicity": lambda d: toxicity.toxicity(d, labels).where("predicted = 0"),
-        "near_duplicates": lambda d: simhash.near_duplicates(d).where("doc_id = component_id"),
-        "decontamination": lambda d: decontam.contamination(d, benchmark).where("not contaminated"),
-    }
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = materialize(stage(spark, docs, sf), name)
-        assert out.columns == docs.columns
-        assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in judges[name](docs).select("doc_id").collect())
-        docs = out
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert check_packing(rows, corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), model, 1024) < 0.1
-    got = corpus_pipeline.run(spark, sf)
-    assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == {i for i, _ in rows}
