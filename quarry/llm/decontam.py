@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WINDOW, GRAM = 8, 4
-#: Rows up to which a side is broadcast after its rows were counted; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of text, up to which a side is broadcast after they were counted; beyond it both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,8 +51,8 @@ def runs(w: Column, n: int) -> Column:
     return F.transform(_steps(F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -76,7 +76,8 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ).distinct(),
         "marks",
     )
-    n_targets, n_marks = targets.count(), marks.count()
+    n_targets, target_bytes = targets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("run")), F.lit(0))).collect()[0]
+    n_marks = marks.count()
 
     base = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("key"))
     cut = base.select("doc_id", "key", words(F.col("text")).alias("w"))
@@ -109,7 +110,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     hits = extended.select("doc_id", "key", F.explode("near").alias("n")).select("doc_id", "key", "n.start", "n.length", "n.run")
     per_doc = (
-        hits.join(_sized(targets, n_targets), "run")
+        hits.join(_sized(targets, n_targets, target_bytes), "run")
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
     )
