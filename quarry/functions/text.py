@@ -90,24 +90,40 @@ def in_skipped_folder(path: Column) -> Column:
     return F.arrays_overlap(F.slice(folders, 1, F.size(folders) - 1), F.array(*map(F.lit, SKIPPED_FOLDERS)))
 
 
+def _literal(c: str) -> str:
+    """A character as itself, in Java's expressions and Python's, inside classes and outside."""
+    return "\\" + c if c.isascii() and not c.isalnum() else c
+
+
+def _glob_class(body: str) -> str:
+    """What stands between a pattern's brackets, as an expression; ranges that run backwards hold nothing."""
+    negated = body[0] == "!"
+    rest, members = body[negated:], []
+    while rest:
+        span = 3 if len(rest) > 2 and rest[1] == "-" else 1
+        low, high = rest[0], rest[span - 1]
+        if low <= high:
+            members.append(_literal(low) if span == 1 else f"{_literal(low)}-{_literal(high)}")
+        rest = rest[span:]
+    if not members:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(members)}]"
+
+
 def glob_regex(pattern: str) -> str:
-    """A shell pattern as an anchored regular expression: * and ? also match a slash."""
+    """A shell pattern as an anchored regular expression: * and ? also match a slash. A bracket
+    that nothing closes is itself; just behind it, or behind its !, a closing one is a member."""
     out, i = [], 0
     while i < len(pattern):
-        c = pattern[i]
-        close = pattern.find("]", i + 2 if pattern[i + 1 : i + 2] in ("!", "^") else i + 2) if c == "[" else -1
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif close > 0:
-            own = pattern[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out.append("[" + ("^" + own[1:] if own[0] == "!" else "\\" + own if own[0] == "^" else own) + "]")
-            i = close
+        c, i = pattern[i], i + 1
+        first = i + pattern.startswith("!", i)
+        close = pattern.find("]", first + 1) if c == "[" else -1
+        if close > 0:
+            out.append(_glob_class(pattern[i:close]))
+            i = close + 1
         else:
-            out.append(re.escape(c))
-        i += 1
-    return "(?s)^" + "".join(out) + "$"
+            out.append({"*": ".*", "?": "."}.get(c) or _literal(c))
+    return "(?s)^" + "".join(out) + "(?!.)"
 
 
 def _matches(regex: str):
