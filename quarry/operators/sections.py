@@ -1,22 +1,35 @@
-"""Markdown sections as window functions over lines."""
+"""Markdown sections: windows over lines, and a fold over a text's headers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A header and a fence.
 HEADER = r"^(#+)[^\S\r\n](.*)"
 FENCE = r"^\s*```"
-#: Header levels whose titles can be ancestors; deeper headers are sections but never name others.
-LEVELS = 12
+
+
+def _paths(heads: Column) -> Column:
+    """section, path of each header of an ordered list, by the stack of those that are open above it."""
+    nothing = F.struct(F.expr("cast(array() as array<struct<level:int,title:string>>)").alias("open"), F.expr("cast(array() as array<struct<section:bigint,path:string>>)").alias("done"))
+
+    def step(so_far: Column, head: Column) -> Column:
+        above = F.filter(so_far["open"], lambda up: up["level"] < head["level"])
+        path = F.concat(F.lit("/"), F.array_join(F.transform(above, lambda up: F.concat(up["title"], F.lit("/"))), ""))
+        own = F.struct(head["level"].alias("level"), head["title"].alias("title"))
+        done = F.concat(so_far["done"], F.array(F.struct(head["section"].alias("section"), path.alias("path"))))
+        return F.struct(F.concat(above, F.array(own)).alias("open"), done.alias("done"))
+
+    return F.aggregate(heads, nothing, step, lambda so_far: so_far["done"])
 
 
 def sections(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, start_line, end_line, path, body: a section begins at every header outside a fence.
 
-    ``path`` names the headers above, not the section's own. Sections without anything but
-    white space are dropped. Lines end at newlines. All windows are within one text.
+    ``path`` names the headers above, of any depth, not the section's own. Sections without
+    anything but white space are dropped. Lines end at newlines. All windows are within one
+    text, and so are the headers that are gathered.
     """
     lines = texts.select(*keys, F.posexplode(F.split("text", "\n")).alias("at", "line"))
     upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -24,26 +37,10 @@ def sections(texts: DataFrame, *keys: str) -> DataFrame:
     is_fence = F.col("line").rlike(FENCE)
     open_before = F.coalesce(F.sum(is_fence.cast("int")).over(before), F.lit(0)) % 2 == 1
     marked = lines.withColumn("header", ~open_before & ~is_fence & F.col("line").rlike(HEADER))
-    level = F.when(F.col("header"), F.length(F.regexp_extract("line", HEADER, 1))).otherwise(0)
-    marked = marked.withColumn("level", level).withColumn("title", F.when(F.col("header"), F.trim(F.regexp_extract("line", HEADER, 2))))
     marked = marked.withColumn("section", F.sum(F.col("header").cast("int")).over(upto))
-    heads = marked.where("header").select(*keys, "section", "level", "title")
-    # the last header of each level; it still stands if no later header was as high
-    prior = Window.partitionBy(*keys).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == n, F.struct(F.col("section").alias("s"), F.col("title").alias("t"))), ignorenulls=True).over(prior) for n in range(1, LEVELS + 1)]
-    heads = heads.select(*keys, "section", "level", F.array(*last).alias("last"))
-    stands = F.transform(
-        F.col("last"),
-        lambda own, n: F.when(
-            own.isNotNull()
-            & (n + 1 < F.col("level"))
-            & (F.size(F.filter(F.slice(F.col("last"), F.lit(1), F.greatest(n, F.lit(1))), lambda up, m: (m < n) & up.isNotNull() & (up["s"] > own["s"]))) == 0),
-            own["t"],
-        ),
-    )
-    titles = F.filter(stands, lambda t: t.isNotNull())
-    path = F.concat(F.lit("/"), F.array_join(F.transform(titles, lambda t: F.concat(t, F.lit("/"))), ""))
-    heads = heads.select(*keys, "section", path.alias("path"))
+    level, title = F.length(F.regexp_extract("line", HEADER, 1)), F.trim(F.regexp_extract("line", HEADER, 2))
+    heads = marked.where("header").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("section", level.alias("level"), title.alias("title")))).alias("heads"))
+    heads = heads.select(*keys, F.inline(_paths(F.col("heads"))))
     bodies = marked.groupBy(*keys, "section").agg(
         (F.min("at") + 1).cast("int").alias("start_line"),
         (F.max("at") + 1).cast("int").alias("end_line"),
