@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from . import render
 from .operators import catalog
+from .operators.embed import HashingEmbedder, OnnxEmbedder
 from .operators.library import Library
 
 
@@ -20,6 +21,7 @@ def session() -> SparkSession:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarry")
     p.add_argument("--home", default=os.path.expanduser("~/.quarry"), help="folder of the library, shared by driver and executors")
+    p.add_argument("--model", default=os.environ.get("QUARRY_MODEL"), help="folder of a sentence model, under the same path for driver and executors; without one, tokens are hashed")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *aliases: str, help: str) -> argparse.ArgumentParser:
@@ -71,7 +73,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, library: Library | None = None) -> int:
     a = parser().parse_args(argv)
-    library = library or Library(session(), a.home)
+    library = library or Library(session(), a.home, OnnxEmbedder(a.model) if a.model else HashingEmbedder())
     where = os.path.abspath(a.directory) if getattr(a, "directory", None) else None
     try:
         if a.command in ("index", "idx"):
