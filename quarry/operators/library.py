@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import storage_key
 from ..sources.files import SCHEMA as FILES
 from ..sources.files import FileSource, list_files, subfolders
 from ..sources.store import Store
-from . import bm25, catalog, search
+from . import catalog, search, stored
 from .chunking import chunk_files
 from .embed import Embedder, HashingEmbedder, embedded
 from .maintain import appended, files_per_extension, manifest_diff, retained, to_parse
 
 CHUNKS = "index_id string, row_id long, file string, start_line int, end_line int, text string, hash string, vector array<float>"
-FORMAT = 1
+#: 2: sizes have the sums of their words' weights.
+FORMAT = 2
+
+
+def storage_key(directory: str) -> str:
+    """As ``quarry.functions.text.storage_key``, of one directory."""
+    return f"{hashlib.sha256(directory.encode()).hexdigest()[:12]}-{directory.rsplit('/', 1)[-1]}"
 
 
 @dataclass
@@ -51,8 +58,24 @@ class Library:
         return rows[0].asDict() if rows else None
 
     def store(self, directory: str) -> Store:
-        key = self.spark.range(1).select(storage_key(F.lit(directory))).collect()[0][0]
-        return Store(self.spark, f"{self.home}/indexes/{key}")
+        return Store(self.spark, f"{self.home}/indexes/{storage_key(directory)}")
+
+    def _about(self, directories: list[str]) -> dict[str, tuple[str, int]]:
+        """Model and format of the indexes that are built, read at once."""
+        paths = {d: p for d in directories if (p := self.store(d).location("about"))}
+        if not paths:
+            return {}
+        rows = self.spark.read.schema("model string, format int").parquet(*paths.values()).select("model", "format", F.col("_metadata.file_path").alias("path")).collect()
+        own = {unquote(r["path"]).split("/indexes/")[-1].split("/")[0]: (r["model"], r["format"]) for r in rows}
+        return {d: own[storage_key(d)] for d in paths if storage_key(d) in own}
+
+    def stale(self, directories: list[str] | None = None) -> list[str]:
+        """Directories of the catalog whose tables are of an older format; they have to be built again."""
+        entries = self.entries()
+        asked = [r[0] for r in entries.select("directory").collect()] if directories is None else directories
+        rows = [(d, f != FORMAT, f == FORMAT) for d, (_, f) in self._about(asked).items()]
+        formats = self.spark.createDataFrame(rows, "directory string, has_old boolean, has_new boolean")
+        return sorted(r[0] for r in catalog.stale(entries, formats).collect())
 
     def ancestor(self, path: str) -> str | None:
         """The nearest directory of the catalog at or above a path."""
@@ -141,7 +164,7 @@ class Library:
         current = self._files(directory, False, paths=json.dumps(paths)).select("path", "mtime", "size")
         known, old = store.read("manifest"), store.read("chunks")
         model = store.read("about")
-        same_model = model is not None and model.collect()[0]["model"] == self.embedder.name
+        same_model = model is not None and tuple(model.select("model", "format").collect()[0]) == (self.embedder.name, FORMAT)
         if known is None or old is None or not same_model:
             known, old = self.spark.createDataFrame([], "path string, mtime double, size long"), self.spark.createDataFrame([], CHUNKS)
         diff = manifest_diff(current, known if not force else known.limit(0)).cache()
@@ -151,27 +174,20 @@ class Library:
             return {"files": len(paths), "skipped": True, "ignored": ignored, "seconds": time.time() - began}
         kept = retained(old, diff)
         parse = [r["path"] for r in to_parse(diff).orderBy("path").collect()]  # of one folder's listing, which the driver made
-        fresh = chunk_files(self._files(directory, True, paths=json.dumps(parse)).withColumn("index_id", F.lit(directory)), self.embedder.token_starts)
+        fresh = chunk_files(self._files(directory, True, paths=json.dumps(parse)).withColumn("index_id", F.lit(directory)), self.embedder.offsets)
         fresh = embedded(fresh, self.embedder, old if same_model else None).withColumn("row_id", F.lit(0).cast("long"))
         chunks = appended(kept.select([c.split()[0] for c in CHUNKS.split(", ")]), fresh.select([c.split()[0] for c in CHUNKS.split(", ")]))
         about = self.spark.createDataFrame([(self.embedder.name, FORMAT)], "model string, format int")
-        # written first, so that postings and statistics are taken from rows that are fixed
+        # each written before the next is made of it: rows that are fixed, and texts that are tokenized once
         scratch = Store(self.spark, f"{store.path}-next")
         scratch.write({"chunks": chunks})
         rows = scratch.read("chunks")
-        statistics = bm25.Statistics.of(rows)
-        store.write(
-            {
-                "chunks": rows,
-                # by term, so that a question reads the row groups of its terms; lengths ride along
-                "postings": bm25.postings(rows).join(bm25.lengths(rows), ["index_id", "row_id"]).repartitionByRange("term", "row_id"),
-                "frequencies": statistics.frequencies,
-                "sizes": statistics.sizes,
-                "manifest": current,
-                "about": about,
-            },
-            {"postings": ["term"], "frequencies": ["term"], "chunks": ["row_id"]},
-        )
+        # by term, so that a question reads the row groups of its terms
+        scratch.write({"postings": stored.postings(rows).repartitionByRange("term", "row_id")}, stored.SORTED, add=True)
+        scratch.write({"frequencies": stored.frequencies(scratch.read("postings")).repartitionByRange("term")}, stored.SORTED, add=True)
+        frequencies = scratch.read("frequencies")
+        tables = {"chunks": rows, "postings": scratch.read("postings"), "frequencies": frequencies, "sizes": stored.sizes(rows, frequencies)}
+        store.write({**tables, "manifest": current, "about": about}, stored.SORTED)
         scratch.drop()
         diff.unpersist()
         kinds = {r["extension"]: r["files"] for r in files_per_extension(current).collect()}
@@ -202,27 +218,37 @@ class Library:
             return [r[0] for r in self.entries().select("directory").orderBy("directory").collect()]
         if directory is None:
             raise ValueError("name a directory or tags, or ask for all")
-        nearest = self.ancestor(directory)
-        if nearest is None:
+        children = {r["directory"]: r["children"] for r in self.entries().select("directory", "children").collect()}
+        path = os.path.abspath(directory)
+        while path not in children and path != os.path.dirname(path):
+            path = os.path.dirname(path)
+        if path not in children:
             raise KeyError(f"{directory} is not indexed")
-        children = (self.entry(nearest) or {}).get("children") or []
-        return [nearest, *children]
+        return [path, *(children[path] or [])]
 
     def query(self, question: str, k: int = 10, folder: str | None = None, directory: str | None = None, tags: list[str] | None = None, everything: bool = False) -> DataFrame:
-        """rank, source, text, start_line, end_line, loc of the k best chunks of the indexes asked."""
-        stores = [(d, s) for d in self.route(directory, tags, everything) if (s := self.store(d)).generation() is not None]
-        for d, s in stores:
-            model = s.read("about").collect()[0]["model"]
-            if model != self.embedder.name:
-                raise ValueError(f"{d} has vectors of {model}, not of {self.embedder.name}")
-        if not stores:
+        """rank, source, text, start_line, end_line, loc of the k best chunks of the indexes asked.
+
+        Indexes that are not built, or of an older format (``stale``), have no part.
+        """
+        return self.search(question, self.route(directory, tags, everything), k, folder)
+
+    def search(self, question: str, directories: list[str], k: int = 10, folder: str | None = None) -> DataFrame:
+        """As ``query``, of the given indexes."""
+        about = self._about(directories)
+        built = [d for d in directories if d in about and about[d][1] == FORMAT]
+        for d in built:
+            if about[d][0] != self.embedder.name:
+                raise ValueError(f"{d} has vectors of {about[d][0]}, not of {self.embedder.name}")
+        if not built:
             raise KeyError("nothing is built yet")
+        stores = [self.store(d) for d in built]
 
         def union(table: str) -> DataFrame:
-            return reduce(DataFrame.unionByName, [s.read(table) for _, s in stores])
+            return reduce(DataFrame.unionByName, [s.read(table) for s in stores])
 
-        chunks = union("chunks").withColumn("root", F.col("index_id"))
-        vector = self.spark.createDataFrame([([float(x) for x in self.embedder.embed_query(question)],)], "query array<double>")
-        statistics = bm25.Statistics.from_tables(union("sizes"), union("frequencies"))
-        top = search.hybrid(chunks, vector, question, k, folder, statistics, union("postings"))
-        return search.results(top, chunks)
+        indexes = stored.StoredIndexes(union("chunks").withColumn("root", F.col("index_id")), union("postings"), union("frequencies"), union("sizes"))
+        vector = self.spark.createDataFrame([([float(x) for x in self.embedder.question(question)],)], "query array<double>")
+        rows = indexes.hybrid(vector, question, k, folder).collect()  # k of them
+        top = self.spark.createDataFrame(rows, "rank int, index_id string, row_id long, file string, fused double")
+        return search.results(top.drop("fused"), indexes.texts(top).drop("file"))

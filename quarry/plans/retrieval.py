@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CODE_EXTENSIONS, TEST_PATH, TOKEN, ident_tokens
 from ..operators import bm25, fusion, search, vector
 from . import corpora
+from .indexed import indexes
 from .corpora import CHUNKS, VECTORS
 
 VEC = 7
@@ -92,14 +93,18 @@ COSINE = f"""WITH {VECTORS}, s AS (
 )"""
 
 
-def _hybrid(question: str, k: int, indexes: tuple[str, ...] = (), folder: str | None = None):
+def _hybrid(question: str, k: int, names: tuple[str, ...] = (), folder: str | None = None):
+    """Over stored indexes, over chunks that are tokenized as they are asked, and in SQL."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = indexes(spark, sf_dir, "hybrid")
+        return (own.only(*names) if names else own).hybrid(corpora.query_vector(spark, sf_dir, VEC), question, k, folder)
+
+    def unstored(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks = corpora.hybrid_chunks(spark, sf_dir)
-        if indexes:
-            chunks = chunks.where(F.col("index_id").isin(*indexes))
-        return search.hybrid(chunks, corpora.query_vector(spark, sf_dir, VEC), question, k, folder)
+        return search.hybrid(chunks.where(F.col("index_id").isin(*names)) if names else chunks, corpora.query_vector(spark, sf_dir, VEC), question, k, folder)
 
-    where = f"index_id IN ({', '.join(map(repr, indexes))})" if indexes else "true"
+    where = f"index_id IN ({', '.join(map(repr, names))})" if names else "true"
     size = fusion.fetch_size(k, folder)
     tests = bool(re.search(r"\b(test|tests|testing|spec|specs|mock|mocks|fixture|fixtures)\b", question.lower()))
     path = TEST_PATH.removeprefix("(?i)")
@@ -112,7 +117,7 @@ hit AS (
 )
 SELECT CAST(row_number() OVER (ORDER BY fused DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, index_id, row_id) AS INTEGER) AS rank, index_id, row_id, file, fused
 FROM hit ORDER BY rank LIMIT {k}"""
-    return run, sql
+    return run, unstored, sql
 
 
 def _lists_sql(size: int) -> str:
@@ -129,9 +134,9 @@ rrf AS (
 
 
 def _rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = corpora.hybrid_chunks(spark, sf_dir)
-    nearest = vector.search(chunks, corpora.query_vector(spark, sf_dir, VEC), 30)
-    fused = fusion.fuse(nearest, bm25.search(chunks, "shou lynt lynt", 30))
+    own = indexes(spark, sf_dir, "hybrid")
+    nearest = vector.search(own.chunks, corpora.query_vector(spark, sf_dir, VEC), 30)
+    fused = fusion.fuse(nearest, own.keyword("shou lynt lynt", 30))
     return fused.select("index_id", "row_id", F.round("fused", 12).alias("fused"), "vector_rank", "keyword_rank")
 
 
@@ -148,9 +153,11 @@ QUERIES = {
     "idf_floor": lambda spark, d: bm25.Statistics.of(c := _several("en", "fr")(spark, d)).idf(bm25.question_terms(c.sparkSession, "the shou lynt and the zzz")).select(
         "term", "qtf", "df", F.round("idf", 9).alias("idf")
     ),
-    "bm25_topk": lambda spark, d: bm25.search(_only("en")(spark, d), "shou lynt", 20),
-    "bm25_multi_index": lambda spark, d: bm25.search(_several("en", "fr")(spark, d), "shou lynt the queeux", 30),
-    "bm25_repeated_term": lambda spark, d: bm25.search(corpora.chunks(spark, d), "lynt lynt shou", 30),
+    "bm25_topk": lambda spark, d: indexes(spark, d).only("en").keyword("shou lynt", 20),
+    "bm25_multi_index": lambda spark, d: indexes(spark, d).only("en", "fr").keyword("shou lynt the queeux", 30),
+    "bm25_repeated_term": lambda spark, d: indexes(spark, d).keyword("lynt lynt shou", 30),
+    "bm25_unstored": lambda spark, d: bm25.search(_several("en", "fr")(spark, d), "shou lynt the queeux", 30),
+    "stored_sizes": lambda spark, d: indexes(spark, d).sizes.select("index_id", "n", "total_length", "terms", F.round("idf_sum", 6).alias("idf_sum")),
     "cosine_topk": _cosine,
     "cosine_topk_per_index": _cosine_per_index,
     "rrf_fusion": _rrf,
@@ -165,6 +172,9 @@ ORACLES = {
     "idf_floor": "WITH " + _statistics_sql("index_id IN ('en', 'fr')") + ", " + _question_sql("the shou lynt and the zzz") + " SELECT term, CAST(qtf AS BIGINT) AS qtf, df, round(idf, 9) AS idf FROM w",
     "bm25_topk": _keyword_sql("index_id = 'en'", "shou lynt", 20),
     "bm25_multi_index": _keyword_sql("index_id IN ('en', 'fr')", "shou lynt the queeux", 30),
+    "bm25_unstored": _keyword_sql("index_id IN ('en', 'fr')", "shou lynt the queeux", 30),
+    "stored_sizes": "WITH " + _statistics_sql("true") + """ SELECT index_id, n, CAST(total AS BIGINT) AS total_length, terms, idf_sum FROM size JOIN (
+  SELECT index_id, count(*) AS terms, round(sum(ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE)), 6) AS idf_sum FROM df JOIN size USING (index_id) GROUP BY index_id) USING (index_id)""",
     "bm25_repeated_term": _keyword_sql("true", "lynt lynt shou", 30),
     "cosine_topk": COSINE + " SELECT index_id, row_id, score, CAST(row_number() OVER (ORDER BY score DESC, index_id, row_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 30",
     "cosine_topk_per_index": COSINE + " SELECT index_id, row_id, score, CAST(row_number() OVER (PARTITION BY index_id ORDER BY score DESC, row_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10",
@@ -178,4 +188,6 @@ for _name, _arguments in {
     "hybrid_folder_filter": ("shou lynt lynt", 10, (), "/ws/en/"),
     "hybrid_no_keyword_hit": ("zzz", 10),
 }.items():
-    QUERIES[_name], ORACLES[_name] = _hybrid(*_arguments)
+    QUERIES[_name], _unstored, ORACLES[_name] = _hybrid(*_arguments)
+    if _name == "hybrid_multi_index":
+        QUERIES["hybrid_unstored"], ORACLES["hybrid_unstored"] = _unstored, ORACLES[_name]

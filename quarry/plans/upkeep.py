@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import catalog as cat
 from ..operators import chunking, maintain, sections
 from ..operators.embed import HashingEmbedder, embedded
-from . import corpora
+from . import corpora, samples
 from .corpora import CHUNKS
 
 # -- literal tables, alike in both engines ------------------------------------------------
@@ -61,6 +61,7 @@ MARKDOWN = [
     (5, "\n\n  \n# Only\n\n"),
     (6, "#### Deep\na\n## Up\nb\n### Down\nc\n#### Deeper\nd"),
     (7, "no header at all"),
+    (8, "\n".join(f"{'#' * n} h{n}\ntext {n}" for n in range(1, 16)) + "\n#### back\nx\n############## far\ny"),
 ]
 
 
@@ -194,13 +195,15 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections(spark.createDataFrame(MARKDOWN, "text_id long, text string"), "text_id")
 
 
-SOURCES = [
-    ("/w/app.py", "import os\n\n# a note\nLIMIT = 3\n\n\ndef read(path):\n    return open(path).read()\n\n\nclass Reader:\n    def run(self):\n        return 1\n\n\nprint(LIMIT)\n"),
-    ("/w/long.py", "class Long:\n    size = 1\n" + "".join(f"    def m{i}(self):\n" + "        pass\n" * 20 for i in range(9))),
-    ("/w/broken.py", "def broken(:\n    pass\n"),
-    ("/w/guide.md", "intro\n# One\ntext\n## Two\nmore\n"),
-    ("/w/page.html", "<p>Visible</p>\n<script>x\ny</script>\n<b>end</b>"),
-]
+def sections_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with some of their lines made headers, up to 20 deep, or fences."""
+    d = corpora.table(spark, sf_dir, "documents")
+    marked = F.transform(
+        F.split("text", "\n"),
+        lambda line, n: F.concat(F.when(n % 7 == 3, "``` ").when(n % 2 == 0, F.concat(F.repeat(F.lit("#"), (F.col("doc_id") * 3 + n * 5).cast("int") % 20 + 1), F.lit(" "))).otherwise(""), line),
+    )
+    found = sections.sections(d.select("doc_id", F.array_join(marked, "\n").alias("text")), "doc_id")
+    return found.select("doc_id", "start_line", "end_line", F.md5(F.col("path").cast("binary")).alias("path_md5"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +215,9 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(SOURCES, "path string, t string")
-    return chunking.chunk_files(files.select(F.lit("w").alias("index_id"), "path", F.substring("path", 4, 100).alias("rel"), F.col("t").cast("binary").alias("content")))
+    """Small files of eight languages, and others; what they are cut into was worked out by hand."""
+    files = spark.createDataFrame(samples.SOURCES, "rel string, t string")
+    return chunking.chunk_files(files.select(F.lit("w").alias("index_id"), F.concat(F.lit("/w/"), "rel").alias("path"), "rel", F.col("t").cast("binary").alias("content")))
 
 
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +258,8 @@ QUERIES = {
     "set_split_skip": lambda spark, d: _flat(cat.set_split(_catalog(spark), "/ws/mono", ["web", "tmp", "web"])),
     "split_child_tags": lambda spark, d: _flat(cat.tag_children(_catalog(spark), "/ws/mono")),
     "markdown_sections": markdown_sections,
+    "sections_of_documents": sections_of_documents,
+    "set_description": lambda spark, d: _flat(cat.set_description(_catalog(spark), "/ws/solo", "a new one")),
     "top_level_indexes": lambda spark, d: cat.top_level(_catalog(spark)).select("directory"),
     "reindex_targets": lambda spark, d: cat.targets(spark.createDataFrame([(p,) for p in ASKED], "path string"), _catalog(spark)),
     "stale_children": lambda spark, d: cat.stale_children(_catalog(spark), "/ws/mono", ["/ws/mono/web", "/ws/mono/new"]),
@@ -264,6 +270,26 @@ QUERIES = {
     "hashed_vectors": hashed_vectors,
 }
 
+
+
+def _sections_sql(key: str) -> str:
+    """Sections of a table ``texts``: the headers above one are those that no later one before it is as high as."""
+    return f"""lines AS (SELECT {key}, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS line FROM texts),
+fenced AS (
+  SELECT *, regexp_matches(line, '^\\s*```') AS fence, coalesce(sum(CAST(regexp_matches(line, '^\\s*```') AS INT)) OVER (PARTITION BY {key} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM lines
+),
+headed AS (SELECT *, NOT inside AND NOT fence AND regexp_matches(line, '^#+[ \\t]') AS header FROM fenced),
+numbered AS (SELECT *, sum(CAST(header AS INT)) OVER (PARTITION BY {key} ORDER BY place) AS section, len(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_extract(line, '^#+[ \\t](.*)', 1)) AS title FROM headed),
+heads AS (SELECT {key}, section, level, title FROM numbered WHERE header),
+above AS (
+  SELECT h.{key}, h.section, a.section AS up, a.title FROM heads h JOIN heads a ON a.{key} = h.{key} AND a.section < h.section AND a.level < h.level
+  WHERE NOT EXISTS (SELECT 1 FROM heads b WHERE b.{key} = h.{key} AND b.section > a.section AND b.section < h.section AND b.level <= a.level)
+),
+paths AS (SELECT {key}, section, string_agg(title || '/', '' ORDER BY up) AS path FROM above GROUP BY ALL),
+bodies AS (SELECT {key}, section, CAST(min(place) + 1 AS INTEGER) AS start_line, CAST(max(place) + 1 AS INTEGER) AS end_line, string_agg(line, chr(10) ORDER BY place) AS body FROM numbered GROUP BY ALL),
+sections AS (SELECT {key}, start_line, end_line, '/' || coalesce(path, '') AS path, body FROM bodies LEFT JOIN paths USING ({key}, section) WHERE regexp_matches(body, '\\S'))"""
+
+
 _markup = "<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<svg\\b.*?</svg\\s*>|<!--.*?-->|<[^>]*>"
 _language = "CASE lower(regexp_extract({0}, '(\\.[^./]*)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in tx.LANGUAGES.items()) + " ELSE 'text' END"
 _lines = "1 + len({0}) - len(replace({0}, chr(10), ''))"
@@ -337,19 +363,13 @@ SELECT directory, count(*) AS asked FROM found GROUP BY directory""",
     "index_statistics": f"WITH {CHUNKS} SELECT index_id, count(DISTINCT file) AS files, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM chunks GROUP BY index_id",
     "byte_budget": f"""WITH {CHUNKS}, sizes AS (SELECT index_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM chunks GROUP BY index_id)
 SELECT index_id, bytes, CAST(sum(bytes) OVER (ORDER BY bytes DESC, index_id) AS BIGINT) AS running, running <= 2000000 AS fits FROM sizes""",
-    "markdown_sections": f"""WITH RECURSIVE {values("texts", "text_id, text", MARKDOWN)},
-lines AS (SELECT text_id, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS line FROM texts),
-fenced AS (
-  SELECT *, regexp_matches(line, '^\\s*```') AS fence, coalesce(sum(CAST(regexp_matches(line, '^\\s*```') AS INT)) OVER (PARTITION BY text_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM lines
-),
-headed AS (SELECT *, NOT inside AND NOT fence AND regexp_matches(line, '^#+[ \\t]') AS header FROM fenced),
-numbered AS (SELECT *, sum(CAST(header AS INT)) OVER (PARTITION BY text_id ORDER BY place) AS section, len(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_extract(line, '^#+[ \\t](.*)', 1)) AS title FROM headed),
-heads AS (SELECT text_id, section, level, title FROM numbered WHERE header),
-above AS (
-  SELECT h.text_id, h.section, a.section AS up, a.title FROM heads h JOIN heads a ON a.text_id = h.text_id AND a.section < h.section AND a.level < h.level
-  WHERE NOT EXISTS (SELECT 1 FROM heads b WHERE b.text_id = h.text_id AND b.section > a.section AND b.section < h.section AND b.level <= a.level)
-),
-paths AS (SELECT text_id, section, string_agg(title || '/', '' ORDER BY up) AS path FROM above GROUP BY ALL),
-bodies AS (SELECT text_id, section, CAST(min(place) + 1 AS INTEGER) AS start_line, CAST(max(place) + 1 AS INTEGER) AS end_line, string_agg(line, chr(10) ORDER BY place) AS body FROM numbered GROUP BY ALL)
-SELECT text_id, start_line, end_line, '/' || coalesce(path, '') AS path, body FROM bodies LEFT JOIN paths USING (text_id, section) WHERE regexp_matches(body, '\\S')""",
+    "markdown_sections": f"""WITH {values("texts", "text_id, text", MARKDOWN)}, {_sections_sql("text_id")}
+SELECT text_id, start_line, end_line, path, body FROM sections""",
+    "sections_of_documents": f"""WITH texts AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, n: CASE WHEN (n - 1) % 7 = 3 THEN '``` ' WHEN (n - 1) % 2 = 0 THEN repeat('#', CAST((doc_id * 3 + (n - 1) * 5) % 20 + 1 AS INTEGER)) || ' ' ELSE '' END || line), chr(10)) AS text
+  FROM documents), {_sections_sql("doc_id")}
+SELECT doc_id, start_line, end_line, md5(path) AS path_md5, md5(body) AS body_md5 FROM sections""",
+    "code_chunks": f"""WITH {values("expected", "name, start_line, end_line, text", samples.expected())}
+SELECT 'w' AS index_id, '/w/' || name AS file, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, text FROM expected""",
+    "set_description": f"WITH {CATALOG}, after AS (SELECT * REPLACE (CASE WHEN directory = '/ws/solo' THEN 'a new one' ELSE description END AS description) FROM catalog) {FLAT} after",
 }

@@ -16,17 +16,31 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from .operators.library import Library
 
 
+def _query(library: Library, body: dict) -> tuple[int, object]:
+    """Of one index and its children; of those with all of some tags; or, where neither is named, of all."""
+    question, directory, tags = body.get("question"), body.get("directory"), body.get("tags") or None
+    if not isinstance(question, str) or not question:
+        return 400, {"error": "question is missing"}
+    everything = bool(body.get("all", directory is None and tags is None))
+    if not (directory or tags or everything):
+        return 400, {"error": "name a directory or tags, or ask for all"}
+    asked = library.route(directory, tags, everything)
+    if not asked:
+        return 404, {"error": "nothing is indexed"}
+    stale = library.stale(asked)
+    if set(stale) >= set(asked):
+        return (409, {"error": f"{asked[0]} has tables of an older format; build it again"}) if not (tags or everything) else (200, {"results": [], "stale": stale})
+    found = library.search(question, asked, int(body.get("top_k", 5)), body.get("folder"))
+    rows = [r.asDict() for r in found.drop("rank", "loc").collect()]
+    reply = {"results": [{k: v for k, v in r.items() if v is not None} for r in rows]}
+    return 200, reply | {"stale": stale} if tags or everything else reply
+
+
 def answer(library: Library, path: str, body: dict) -> tuple[int, object]:
     """Status and reply of one request."""
     try:
         if path == "/query":
-            if not isinstance(body.get("question"), str):
-                return 400, {"error": "question is missing"}
-            if not (body.get("directory") or body.get("tags") or body.get("all")):
-                return 400, {"error": "directory, tags or all is missing"}
-            found = library.query(body["question"], int(body.get("top_k", 5)), body.get("folder"), body.get("directory"), body.get("tags") or None, bool(body.get("all")))
-            rows = [r.asDict() for r in found.drop("rank", "loc").collect()]
-            return 200, {"results": [{k: v for k, v in r.items() if v is not None} for r in rows]}
+            return _query(library, body)
         if path == "/index":
             if not body.get("directory"):
                 return 400, {"error": "directory is missing"}

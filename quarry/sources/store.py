@@ -34,15 +34,22 @@ class Store:
 
     def read(self, table: str) -> DataFrame | None:
         """A table of the generation in force; None if there is none. Damaged files are an error."""
+        path = self.location(table)
+        return self.spark.read.parquet(path) if path else None
+
+    def location(self, table: str) -> str | None:
+        """Where a table of the generation in force lies."""
         n = self.generation()
-        if n is None or not self._fs.exists(self._path(f"gen={n}", table)):
-            return None
-        return self.spark.read.parquet(f"{self.path}/gen={n}/{table}")
+        return f"{self.path}/gen={n}/{table}" if n is not None and self._fs.exists(self._path(f"gen={n}", table)) else None
 
-    def write(self, tables: dict[str, DataFrame], sort: dict[str, list[str]] | None = None, keep: int = 1) -> int:
-        """Write all tables of the next generation, then put it in force; ``keep`` older ones stay for readers."""
+    def write(self, tables: dict[str, DataFrame], sort: dict[str, list[str]] | None = None, keep: int = 1, add: bool = False) -> int:
+        """Write all tables of the next generation, then put it in force; ``keep`` older ones stay
+        for readers. With ``add`` the tables join the generation in force, which has none of them."""
         n = (self.generation() or 0) + 1
-        self._fs.delete(self._path(f"gen={n}"), True)
+        if add and n > 1:
+            n -= 1
+        else:
+            self._fs.delete(self._path(f"gen={n}"), True)
         for name, df in tables.items():
             columns = (sort or {}).get(name, [])
             (df.sortWithinPartitions(*columns) if columns else df).write.parquet(f"{self.path}/gen={n}/{name}")

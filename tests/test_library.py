@@ -6,7 +6,7 @@ import pytest
 from quarry import render
 from quarry.cli import main
 from quarry.operators.library import Library
-from quarry.serve import answer
+from quarry.serve import answer, serve, server
 from quarry.streaming.feed import follow
 
 
@@ -103,7 +103,10 @@ def test_service(library, tree):
     status, body = answer(library, "/query", {"question": "zebra", "directory": tree, "top_k": 2})
     assert status == 200 and len(body["results"]) == 2 and "rank" not in body["results"][0]
     assert answer(library, "/query", {})[0] == 400
-    assert answer(library, "/query", {"question": "x", "tags": []})[0] == 400
+    status, body = answer(library, "/query", {"question": "zebra", "tags": []})
+    assert status == 200 and body["results"] and body["stale"] == []
+    assert answer(library, "/query", {"question": "zebra"})[1] == body == answer(library, "/query", {"question": "zebra", "all": True})[1]
+    assert answer(library, "/query", {"question": "x", "all": False})[0] == 400
     assert answer(library, "/query", {"question": "x", "tags": ["no"]})[0] == 404
     assert answer(library, "/health", {}) == (200, {"ok": True})
     assert answer(library, "/index", {})[0] == 400
@@ -111,6 +114,59 @@ def test_service(library, tree):
     assert answer(library, "/nothing", {})[0] == 404
 
 
+def test_older_formats_are_reported(library, tree, spark, tmp_path):
+    old = str(tmp_path / "old")
+    put(old, "a.py", "def zebraOld():\n    pass\n")
+    library.build(old)
+    store = library.store(old)
+    spark.createDataFrame([(library.embedder.name, 1)], "model string, format int").write.mode("overwrite").parquet(store.location("about"))
+    assert library.stale() == [old] and library.stale([tree]) == []
+    assert answer(library, "/query", {"question": "zebra", "directory": old})[0] == 409
+    status, body = answer(library, "/query", {"question": "zebra"})
+    assert status == 200 and body["stale"] == [old] and all(not r["source"].startswith(old) for r in body["results"])
+    assert not library.build(old).get("skipped") and library.stale() == []
+    assert library.query("zebraOld", 1, directory=old).collect()[0]["source"] == old + "/a.py"
+    library.remove(old)
+
+
+def test_service_over_a_socket(library, tree):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    http = server(library)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+
+    def post(path, raw):
+        try:
+            with urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{path}", raw) as reply:
+                return reply.status, json.loads(reply.read())
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    try:
+        status, body = post("/query", json.dumps({"question": "zebra", "directory": tree, "top_k": 1}).encode())
+        assert status == 200 and len(body["results"]) == 1 and "stale" not in body
+        assert post("/query", b"{")[0] == 400 and post("/query", b"[]")[0] == 400 and post("/query", b"{}")[0] == 400
+        assert post("/health", None) == (200, {"ok": True}) and post("/invalidate", b"{}") == (200, {"ok": True})
+    finally:
+        http.shutdown()
+        http.server_close()
+
+
+def test_service_ends_when_idle(library, monkeypatch):
+    import threading
+    import time
+
+    monkeypatch.setattr("quarry.serve.signal.signal", lambda *_: None)
+    running = threading.Thread(target=serve, args=(library, 0, 0.3), daemon=True)
+    began = time.time()
+    running.start()
+    running.join(20)
+    assert not running.is_alive() and time.time() - began >= 0.3
+
+
 def test_stream_of_notices(library, tree, spark, tmp_path):
     put(tree, "late.py", "def ocelot():\n    pass\n")
     spark.createDataFrame([(f"{tree}/late.py",)], "path string").write.parquet(str(tmp_path / "in"))
