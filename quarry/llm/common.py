@@ -96,7 +96,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class:
     return [(r["text"], r["label"]) for r in sorted(texts, key=lambda r: (r["draw"], r["doc_id"]))]
 
 
-def chunks(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[list[bytes]]:
     """UTF-8 texts in order, in lists of about ``limit`` bytes (null: empty)."""
     held: list[bytes] = []
     size = 0

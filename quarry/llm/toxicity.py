@@ -25,7 +25,8 @@ SAMPLE = 1500
 WINDOW, STEP = 32, 24
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8
 EPOCHS, ROUNDS, BATCH, RATE = 3, 3, 64, 0.05
-BLOCK = 2048
+#: Windows that are scored, and words whose vectors are made, at a time.
+BLOCK, WORDS_HELD = 2048, 8192
 THRESHOLD, FOLDS, HELD = 0.7, 3, 1
 
 f32 = np.float32
@@ -36,7 +37,14 @@ class Lexicon:
 
     def __init__(self, texts: list[bytes]):
         t = Texts(texts, NOT_WORD, lower=True)
-        hashes, first, self.number = np.unique(t.words(), return_index=True, return_inverse=True)
+        words = t.words()
+        order = np.argsort(words, kind="stable")  # rather than np.unique, which holds more at a time
+        words = words[order]
+        new = np.append(True, words[1:] != words[:-1])[: len(words)]
+        hashes, first = words[new], order[new]
+        self.number = np.empty(len(words), np.int32)
+        self.number[order] = np.cumsum(new, dtype=np.int32) - 1
+        del words, order, new
         self.word_from = t.word_from
         self.word = (hashes % np.uint64(WORDS)).astype(np.int64)
         start, length = t.word_start[first], (t.word_end - t.word_start)[first]
@@ -48,7 +56,7 @@ class Lexicon:
         code = t.data[at].astype(np.uint64)
         for k in (1, 2):  # what lies beyond the word counts as zero
             code = code << np.uint64(8) | np.where(left > k, t.data[np.minimum(at + k, len(t.data) - 1)], 0).astype(np.uint64)
-        self.gram = (mixed(code + (place == 0) * BASE) % np.uint64(GRAMS)).astype(np.int64)
+        self.gram = (mixed(code + (place == 0) * BASE) % np.uint64(GRAMS)).astype(np.int32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, -1 after the end of a short text; text) of all windows of all texts.
@@ -60,9 +68,12 @@ class Lexicon:
         text = np.repeat(np.arange(len(size)), count)
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.minimum(nth * STEP, np.maximum(size[text] - WINDOW, 0))
-        at = start[:, None] + np.arange(WINDOW)
-        inside = at < size[text][:, None]
-        return np.where(inside, self.number[np.where(inside, at + self.word_from[text][:, None], 0)] if len(self.number) else -1, -1), text
+        left, first = size[text] - start, start + self.word_from[text]
+        rows = np.full((len(text), WINDOW), -1, np.int32)
+        for place in range(WINDOW):
+            some = left > place
+            rows[some, place] = self.number[first[some] + place]
+        return rows, text
 
 
 class Network:
@@ -87,9 +98,12 @@ class Network:
     # -- scoring ---------------------------------------------------------------------------
 
     def score_windows(self, lex: Lexicon, windows: np.ndarray) -> np.ndarray:
-        x, _, _ = self.inputs(lex)
         half = np.repeat(np.array([0.5, 0.5, 1], f32), HIDDEN)  # sigmoid(a) = (1 + tanh(a / 2)) / 2
-        gates = {s: np.concatenate([(x @ self.p[f"x{s}"] + self.p[f"c{s}"]) * half, np.zeros((1, 3 * HIDDEN), f32)]) for s in "fb"}
+        gates = {s: np.zeros((len(lex.word) + 1, 3 * HIDDEN), f32) for s in "fb"}
+        for i in range(0, len(lex.word), WORDS_HELD):
+            x, _, _ = self.inputs(lex, np.arange(i, min(i + WORDS_HELD, len(lex.word))))
+            for s, own in gates.items():
+                own[i : i + len(x)] = (x @ self.p[f"x{s}"] + self.p[f"c{s}"]) * half
         scores = [self._block(gates, half, windows[i : i + BLOCK]) for i in range(0, len(windows), BLOCK)]
         return np.concatenate(scores) if scores else np.empty(0, f32)
 
@@ -227,7 +241,7 @@ def train(sample: list[tuple[str, int]], seed: int = 5) -> Network:
     toxic = labels[text] == 1
     for turn in range(ROUNDS):
         if turn == 0:
-            odds = np.append(suspicion(lex, labels), -9.0)
+            odds = np.append(suspicion(lex, labels), -9.0).astype(f32)
             value = odds[windows].max(axis=1)
         else:
             value = net.score_windows(lex, windows)
