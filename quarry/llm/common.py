@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,15 +61,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int, seed: int) -> list[tuple[str, object]]:
-    """At most ``per_class`` (text, label) rows of each label value, chosen by a hash of the id.
+def sample_table(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int, seed: int) -> DataFrame | None:
+    """At most ``per_class`` rows (doc_id, label, draw, text) of each label value, chosen by a hash of the id.
 
     ``labels`` has doc_id and label; ``keep`` is a condition on doc_id. An id with several
     labels counts with the largest, an id with several texts with the smallest. All rows are
     drawn from, texts of any length among them, and every label value has its rows: where
     there are so many values that all would be more than SAMPLE_ROWS, each has fewer, and
-    beyond SAMPLE_ROWS values this is an error. The list is ordered by the hash, so that it
-    does not depend on how the tables are partitioned. Texts are held whole by the driver.
+    beyond SAMPLE_ROWS values this is an error. None where no row has a label.
     """
     ids = docs.where(keep & F.col("text").isNotNull()).select("doc_id").distinct()
     known = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -81,19 +82,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class:
     picked = materialize(first.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label", "draw", "rank"), "sample")
     values = picked.select("label").distinct().count()
     if not values:
-        return []
+        return None
     if values > SAMPLE_ROWS:
         raise ValueError(f"{values} label values; a sample has at most {SAMPLE_ROWS} rows")
     picked = picked.where(F.col("rank") <= SAMPLE_ROWS // values).drop("rank")  # at most SAMPLE_ROWS
-    texts = (
+    return (
         docs.where(F.col("text").isNotNull())
         .select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "label", "draw")
         .agg(F.min("text").alias("text"))
-        .collect()
     )
-    return [(r["text"], r["label"]) for r in sorted(texts, key=lambda r: (r["draw"], r["doc_id"]))]
+
+
+def in_order(rows: Iterable[tuple]) -> list[tuple[str, object]]:
+    """(text, label) of rows (draw, doc_id, text, label), by the hash, however they were partitioned."""
+    return [(text, label) for _, _, text, label in sorted(rows, key=lambda r: r[:2])]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int, seed: int) -> list[tuple[str, object]]:
+    """The (text, label) rows of ``sample_table`` on the driver, in order."""
+    sample = sample_table(docs, labels, keep, per_class, seed)
+    return [] if sample is None else in_order(tuple(r) for r in sample.select("draw", "doc_id", "text", "label").collect())
+
+
+def trained(sample: DataFrame | None, train: Callable[[list[tuple[str, object]]], object]) -> object:
+    """What ``train`` makes of a ``sample_table``, by one task on an executor.
+
+    The task holds the sample, SAMPLE_ROWS texts at most; the driver gets the model alone. A
+    task that is lost is done again with the same outcome, as the rows are put in order first.
+    """
+    if sample is None:
+        return train([])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in zip(*(batch[c].tolist() for c in batch), strict=True))
+        yield pd.DataFrame({"model": [pickle.dumps(train(in_order(rows)))]})
+
+    made = sample.select("draw", "doc_id", "text", "label").coalesce(1).mapInPandas(run, "model binary")
+    return pickle.loads(made.collect()[0]["model"])
 
 
 def chunks(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[list[bytes]]:

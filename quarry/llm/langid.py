@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fold, labelled_sample
+from .common import chunks, fold, sample_table, trained
 from .features import Texts, sums
 
 #: Labelled documents of each language that a training sample has at most.
@@ -148,6 +148,6 @@ def language(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """
     learn = fold(F.col("doc_id"), FOLDS) != HELD
     labels = docs.where(learn).select("doc_id", F.col("lang").alias("label"))
-    model = train(labelled_sample(docs.select("doc_id", "text"), labels, learn, per_language, seed=3))
+    model = trained(sample_table(docs.select("doc_id", "text"), labels, learn, per_language, seed=3), train)
     found = docs.select("doc_id", (~learn).alias("held_out"), predictor(docs.sparkSession, model)(F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fold, labelled_sample
+from .common import chunks, fold, sample_table, trained
 from .features import Characters, Texts, sums
 
 #: Labelled documents of each class that a training sample has at most.
@@ -118,7 +118,7 @@ def scorer(spark, model: Model) -> Callable[[Column], Column]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     labels = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1))
-    return train(labelled_sample(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), FOLDS) != HELD, per_class, seed=6))
+    return trained(sample_table(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), FOLDS) != HELD, per_class, seed=6), train)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fold, labelled_sample
+from .common import chunks, fold, sample_table, trained
 from .features import BASE, NOT_WORD, Texts, mixed
 
 #: Labelled documents of each class that a training sample has at most.
@@ -258,13 +258,18 @@ def train(sample: list[tuple[str, int]], seed: int = 5) -> Network:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
-    labels = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isin(0, 1))
-    net = train(labelled_sample(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), FOLDS) != HELD, per_class, seed=10))
+def learnt(sample: list[tuple[str, int]]) -> Network:
+    """A trained network without what only training needs."""
+    net = train(sample)
     net.sums = {}
     return net
 
 
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
+    labels = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isin(0, 1))
+    return trained(sample_table(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), FOLDS) != HELD, per_class, seed=10), learnt)
+
+
 def scorer(spark, net: Network) -> Callable[[Column], Column]:
     held = spark.sparkContext.broadcast(net)  # WORDS + GRAMS vectors, whatever the input
 

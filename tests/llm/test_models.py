@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import common, langid, pseudo_lm, quality, toxicity
-from quarry.llm.common import fold, labelled_sample
+from quarry.llm.common import fold, labelled_sample, sample_table
 from quarry.llm.features import Characters, Texts, sums
 
 from .conftest import ODD, prose
@@ -38,6 +38,17 @@ def test_samples_are_bounded_and_stable(docs_of, spark):
     assert sorted(y for _, y in a) == [0] * 8 + [1] * 8 and "text 5" not in {t for t, _ in a}
 
 
+def test_one_task_trains_on_the_whole_sample_in_order(docs_of, spark):
+    d = docs_of([(i, f"text {i}") for i in range(50)] + [(1, "another"), (None, "no id")], label="w", draw="x")
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    told = labelled_sample(d, known, F.lit(True), 8, 1)
+    for n in (1, 2, 7):
+        assert common.trained(sample_table(d.repartition(n), known.repartition(n), F.lit(True), 8, 1), list) == told
+    assert len(told) == 16 and {type(y) for _, y in told} == {int}
+    assert common.trained(sample_table(d, known.where("label > 1"), F.lit(True), 8, 1), list) == []
+    assert common.trained(sample_table(d.limit(0), known, F.lit(True), 8, 1), list) == []
+
+
 def test_samples_keep_long_texts_and_every_label(docs_of, spark, monkeypatch):
     d = docs_of([(i, "x" * 200_000 if i % 2 else f"t{i}") for i in range(40)])
     known = spark.createDataFrame([(i, f"l{i // 2:04d}") for i in range(40)], "doc_id long, label string")
