@@ -182,11 +182,12 @@ class Library:
         scratch = Store(self.spark, f"{store.path}-next")
         scratch.write({"chunks": chunks})
         rows = scratch.read("chunks")
-        # by term, so that a question reads the row groups of its terms
-        scratch.write({"postings": stored.postings(rows).repartitionByRange("term", "row_id")}, stored.SORTED, add=True)
-        scratch.write({"frequencies": stored.frequencies(scratch.read("postings")).repartitionByRange("term")}, stored.SORTED, add=True)
+        # sorted by term, so that a question reads the pages of its terms
+        scratch.write({"postings": stored.postings(rows)}, stored.SORTED, add=True)
+        postings = scratch.read("postings")
+        scratch.write({"frequencies": stored.frequencies(postings)}, stored.SORTED, add=True)
         frequencies = scratch.read("frequencies")
-        tables = {"chunks": rows, "postings": scratch.read("postings"), "frequencies": frequencies, "sizes": stored.sizes(rows, frequencies)}
+        tables = {"chunks": rows, "postings": postings, "frequencies": frequencies, "sizes": stored.sizes(rows, postings, frequencies)}
         store.write({**tables, "manifest": current, "about": about}, stored.SORTED)
         scratch.drop()
         diff.unpersist()

@@ -1,9 +1,10 @@
 """Stored indexes: tokenized once into tables that questions read.
 
-``postings`` are sorted by term and carry their chunk's length; ``frequencies`` are sorted by
-term; ``sizes`` has a row an index, with the sum of its own words' raw weights, so that no
-question reads the whole vocabulary. A question's words reach the scans as literals, which
-skips the row groups that hold others. Its weights are a few numbers and go into the plan.
+``postings`` lie in segments, files of some chunks' words each, sorted by term, and carry their
+chunk's length; ``frequencies`` are sorted by term; ``sizes`` has a row an index, with the sum of
+its own words' raw weights, so that no question reads the whole vocabulary. A question's words
+reach the scans as literals, which skips the pages of a segment that hold others. Its weights
+are a few numbers and go into the plan.
 """
 
 from __future__ import annotations
@@ -20,12 +21,26 @@ from .search import in_folder
 
 #: By which columns the files of a table are sorted.
 SORTED = {"postings": ["term"], "frequencies": ["term"], "chunks": ["row_id"]}
+#: Bytes of text a segment of postings is made of; small collections have a segment a core, of SMALL bytes at least.
+SEGMENT, SMALL = 1 << 24, 1 << 20
+
+
+def segments(chunks: DataFrame) -> int:
+    size = chunks.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    return max(1, -(-size // SEGMENT), min(chunks.sparkSession.sparkContext.defaultParallelism, -(-size // SMALL)))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """index_id, row_id, length, term, tf."""
-    words = bm25.tokenized(chunks).select("index_id", "row_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    return words.groupBy("index_id", "row_id", "length", "term").agg(F.count("*").alias("tf"))
+    """index_id, row_id, length, term, tf.
+
+    Texts are shuffled rather than their words, which are several times as large: all words of a
+    row meet where its text is. The number of tasks follows the bytes of text, so that counting
+    and sorting a task's words needs the same memory whatever the input.
+    """
+    dealt = chunks.select("index_id", "row_id", "text").repartition(segments(chunks), "index_id", "row_id")
+    # outer, as else the planner asks before the shuffle which rows have words, which tokenizes all texts once more
+    words = bm25.tokenized(dealt).select("index_id", "row_id", F.size("terms").cast("long").alias("length"), F.explode_outer("terms").alias("term"))
+    return words.where(F.col("term").isNotNull()).groupBy("index_id", "row_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -33,9 +48,13 @@ def frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("index_id", "term").agg(F.count("*").alias("df"))
 
 
-def sizes(chunks: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """index_id, n, total_length, terms, idf_sum: chunks and words, and the words' raw weights by the index's own size."""
-    own = bm25.index_sizes(chunks)
+def sizes(chunks: DataFrame, postings: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """index_id, n, total_length, terms, idf_sum: chunks and words, and the words' raw weights by the index's own size.
+
+    Lengths are summed over the postings, so that no text is tokenized again.
+    """
+    parts = chunks.select("index_id", F.lit(1).alias("n"), F.lit(0).cast("long").alias("tf")).unionByName(postings.select("index_id", F.lit(0).alias("n"), "tf"))
+    own = parts.groupBy("index_id").agg(F.sum("n").alias("n"), F.sum("tf").alias("total_length"))
     weight = bm25.raw_idf(F.col("n"), F.col("df"))
     words = frequencies.join(F.broadcast(own.select("index_id", "n")), "index_id").groupBy("index_id").agg(F.count("*").alias("terms"), F.sum(weight).alias("idf_sum"))
     return own.join(words, "index_id", "left").fillna({"terms": 0, "idf_sum": 0.0})

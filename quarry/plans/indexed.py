@@ -27,9 +27,9 @@ def build(store: Store, chunks: DataFrame) -> None:
     """Chunks first, then what is made of them, each from what is written before it."""
     steps = {
         "chunks": lambda: chunks,
-        "postings": lambda: stored.postings(store.read("chunks")).repartitionByRange("term", "row_id"),
-        "frequencies": lambda: stored.frequencies(store.read("postings")).repartitionByRange("term"),
-        "sizes": lambda: stored.sizes(store.read("chunks"), store.read("frequencies")),
+        "postings": lambda: stored.postings(store.read("chunks")),
+        "frequencies": lambda: stored.frequencies(store.read("postings")),
+        "sizes": lambda: stored.sizes(*[store.read(t) for t in ("chunks", "postings", "frequencies")]),
     }
     for name, table in steps.items():
         store.write({name: table()}, stored.SORTED, add=True)

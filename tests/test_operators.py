@@ -131,6 +131,35 @@ def test_stored_indexes_answer_as_raw_chunks_do(spark, tmp_path):
     assert own.only("none").keyword("alpha", 5).count() == 0
 
 
+def test_postings_shuffle_texts_alone(spark, monkeypatch):
+    from quarry.operators import stored
+
+    rows = corpus(9, 60, "a") + [("a", 70, "f", None), ("b", 0, "f", "?!"), (None, 1, "f", "mu mu"), ("a", 0, "f", "one id"), ("a", 0, "f", "two texts")]
+    c = frame(spark, rows)
+    monkeypatch.setattr(stored, "SEGMENT", 500)
+    parts = stored.segments(c)
+    assert parts == -(-sum(len(r[3].encode()) for r in rows if r[3]) // 500) > 4
+    found = stored.postings(c)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and f", {parts})" in plan.split("Exchange ")[1].split("\n")[0]
+    assert "regexp_extract_all" not in plan.split("Exchange ")[1], "texts are tokenized after the shuffle, and once"
+    by_id = lambda d, *c: sorted(map(str, d.select(*c).collect()))
+    once = frame(spark, [r for r in rows if r[3] not in ("one id", "two texts")])
+    assert by_id(stored.postings(once), "index_id", "row_id", "term", "tf") == by_id(bm25.postings(once), "index_id", "row_id", "term", "tf")
+    assert {(r["term"], r["length"], r["tf"]) for r in found.where("index_id = 'a' and row_id = 0").collect()} >= {("one", 2, 1), ("two", 2, 1)}
+
+
+def test_sizes_read_no_text(spark):
+    from quarry.operators import stored
+
+    c = frame(spark, corpus(9, 20, "a") + [("a", 70, "f", None), ("b", 0, "f", "?!"), (None, 1, "f", "mu mu")])
+    p = stored.postings(c).select("index_id", "row_id", "length", "term", "tf")
+    kept = spark.createDataFrame(p.collect(), p.schema)
+    own = stored.sizes(c.drop("text"), kept, stored.frequencies(kept))
+    sizes = lambda d: sorted(map(str, d.select("index_id", "n", "total_length").collect()))
+    assert sizes(own) == sizes(bm25.index_sizes(c)) and own.count() == 3
+
+
 def test_empty_question_and_empty_collection(spark):
     c = frame(spark, corpus(4, 10, "a"))
     assert bm25.search(c, "?!", 5).count() == 0
