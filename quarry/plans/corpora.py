@@ -35,10 +35,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = "vectors AS (SELECT 'v' || label AS index_id, vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
 
 
+#: Ids of vectors that are sent to every task, at most; beyond, the join alone finds the chunks that have one.
+IDS = 1_000_000
+
+
 def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that have a vector, joined on doc_id = vec_id."""
+    """Chunks that have a vector, joined on doc_id = vec_id; texts that have none are not shuffled for the join."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
-    return chunks(spark, sf_dir).join(e, "row_id")
+    c = chunks(spark, sf_dir)
+    if e.count() <= IDS:
+        c = c.join(F.broadcast(e.select("row_id")), "row_id", "left_semi")
+    return c.join(e, "row_id")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> DataFrame:

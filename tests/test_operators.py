@@ -160,6 +160,25 @@ def test_sizes_read_no_text(spark):
     assert sizes(own) == sizes(bm25.index_sizes(c)) and own.count() == 3
 
 
+def test_texts_without_a_vector_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from quarry.plans import corpora
+
+    d = [(i, f"text {i}", "en", "web") for i in range(40)]
+    spark.createDataFrame(d, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0]) for i in (3, 5, 5, 99)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = corpora.hybrid_chunks(spark, str(tmp_path))
+        assert "BroadcastHashJoin [row_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "LeftSemi" in plan
+        monkeypatch.setattr(corpora, "IDS", 2)
+        plain = corpora.hybrid_chunks(spark, str(tmp_path))
+        assert "LeftSemi" not in plain._jdf.queryExecution().executedPlan().toString()
+        rows = [sorted(map(str, x.collect())) for x in (found, plain)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows[0] == rows[1] and len(rows[0]) == 3
+
+
 def test_empty_question_and_empty_collection(spark):
     c = frame(spark, corpus(4, 10, "a"))
     assert bm25.search(c, "?!", 5).count() == 0
