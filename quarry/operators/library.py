@@ -176,11 +176,11 @@ class Library:
         parse = [r["path"] for r in to_parse(diff).orderBy("path").collect()]  # of one folder's listing, which the driver made
         fresh = chunk_files(self._files(directory, True, paths=json.dumps(parse)).withColumn("index_id", F.lit(directory)), self.embedder.offsets)
         fresh = embedded(fresh, self.embedder, old if same_model else None).withColumn("row_id", F.lit(0).cast("long"))
-        chunks = appended(kept.select([c.split()[0] for c in CHUNKS.split(", ")]), fresh.select([c.split()[0] for c in CHUNKS.split(", ")]))
         about = self.spark.createDataFrame([(self.embedder.name, FORMAT)], "model string, format int")
-        # each written before the next is made of it: rows that are fixed, and texts that are tokenized once
-        scratch = Store(self.spark, f"{store.path}-next")
-        scratch.write({"chunks": chunks})
+        # each written before the next is made of it: files that are parsed once, rows that are fixed, and texts that are tokenized once
+        scratch, columns = Store(self.spark, f"{store.path}-next"), [c.split()[0] for c in CHUNKS.split(", ")]
+        scratch.write({"fresh": fresh.select(columns)})
+        scratch.write({"chunks": appended(kept.select(columns), scratch.read("fresh"))}, add=True)
         rows = scratch.read("chunks")
         # sorted by term, so that a question reads the pages of its terms
         scratch.write({"postings": stored.postings(rows)}, stored.SORTED, add=True)

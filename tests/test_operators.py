@@ -179,6 +179,44 @@ def test_texts_without_a_vector_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert rows[0] == rows[1] and len(rows[0]) == 3
 
 
+def test_one_file_is_numbered_by_many_tasks(spark, monkeypatch):
+    from quarry.operators import maintain
+
+    draw = random.Random(3)
+    rows = [("a", 0, "/a/big.py", draw.choice([None, n // 3]), draw.choice([None, n]), f"{'same ' * draw.choice([0, 60])}{n % 50}é") for n in range(600)]
+    rows += [("b", 0, f"/b/{n % 4}.py", n, n, "x") for n in range(40)] + [("a", 0, "/a/first.py", 1, 1, None)]
+    schema = "index_id string, row_id long, file string, start_line int, end_line int, text string"
+    draw.shuffle(rows)
+    kept, fresh = spark.createDataFrame(rows[:500], schema), spark.createDataFrame(rows[500:], schema)
+    first = lambda v: (v is not None, v.encode() if isinstance(v, str) else v or 0)
+    ordered = sorted(rows, key=lambda r: (r[0], *map(first, r[2:])))
+    numbered = [(r[0], n if r[0] == "a" else n - 601, *r[2:]) for n, r in enumerate(ordered)]
+    assert sorted(map(repr, map(tuple, maintain.appended(kept, fresh).collect()))) == sorted(map(repr, numbered))
+    monkeypatch.setattr(maintain, "RANGE", 20_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = maintain.appended(kept, fresh).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(repr(tuple(r)[:-1]) for r in found) == sorted(map(repr, numbered))
+    assert len({r["task"] for r in found if r["file"] == "/a/big.py"}) > 1
+
+
+def test_few_paths_are_sent_to_every_task(spark, monkeypatch):
+    from quarry.operators import maintain
+
+    chunks = spark.createDataFrame([(n, f"f{n % 3}") for n in range(9)], "row_id long, file string")
+    diff = spark.createDataFrame([("f0", "same"), ("f1", "changed"), ("f2", "same"), ("f9", "same")], "path string, status string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = maintain.retained(chunks, diff)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(maintain, "PATHS", 1)
+        assert sorted(found.collect()) == sorted(maintain.retained(chunks, diff).collect()) and found.count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty_question_and_empty_collection(spark):
     c = frame(spark, corpus(4, 10, "a"))
     assert bm25.search(c, "?!", 5).count() == 0
