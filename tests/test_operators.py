@@ -160,6 +160,33 @@ def test_sizes_read_no_text(spark):
     assert sizes(own) == sizes(bm25.index_sizes(c)) and own.count() == 3
 
 
+def test_an_index_moves_less_than_its_texts_twice(spark, tmp_path):
+    def moved(n):
+        """MB of text, shuffled, spilled and written by a question to two languages, and by the build of the index that it asks."""
+        draw, words = random.Random(n), [f"{a}{b}{c}" for a in "brklmnstvz" for b in "aeiou" for c in WORDS] + ["shou", "lynt"]
+        rows = [(i, " ".join(draw.choices(words, k=draw.randint(50, 350))), ("en", "fr", "de", "es")[i % 4], "web") for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+        def stages():
+            sc.listenerBus().waitUntilEmpty(30_000)
+            every = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+            return {x.stageId(): x for x in (every.apply(i) for i in range(every.size()))}
+
+        before = max(stages(), default=-1)
+        found = catalogue.QUERIES["bm25_multi_index"](spark, f"{tmp_path}/{n}").collect()
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
+        assert len(found) == 30 and sorted(map(tuple, found)) == sorted(con.sql(catalogue.ORACLES["bm25_multi_index"]).fetchall())
+        own = [x for k, x in stages().items() if k > before]
+        return [sum(len(r[1]) for r in rows) / 1e6, *(sum(getattr(x, f)() for x in own) / 1e6 for f in ("shuffleWriteBytes", "diskBytesSpilled", "outputBytes"))]
+
+    small, large = moved(400), moved(1600)
+    for text, shuffled, spilled, written in (small, large):
+        assert shuffled < text and spilled == 0 and shuffled + written < 2 * text
+    assert sum(large[1:]) <= 1.1 * large[0] / small[0] * sum(small[1:])
+
+
 def test_texts_without_a_vector_are_not_shuffled(spark, tmp_path, monkeypatch):
     from quarry.plans import corpora
 
